@@ -11,6 +11,61 @@ from clausemill.sources.tables import table
 
 CAPACITY = 2048
 
+def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "parsed_clause")
+
+
+def _filings(spark: SparkSession, sf_dir: str, *modes: str) -> DataFrame:
+    """Ids of the filings read in one of these extraction modes, each once."""
+    mode = F.lower(F.regexp_replace("extraction_mode", r"^\s+|\s+$", ""))
+    return table(spark, sf_dir, "manifest").where(mode.isin(*modes)).select(F.col("id").alias("document_id")).distinct()
+
+
+def _excess(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from clausemill.llm.repeated_lines import excess_lines
+
+    own = _clauses(spark, sf_dir).join(_filings(spark, sf_dir, "text"), "document_id", "left_semi").select("clause_id", "cnpj", "text")
+    return own, excess_lines(own, "clause_id", "cnpj", "text", min_docs=8, min_chars=15)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _excess(spark, sf_dir)[1].where("n_within >= 8").select("clause_id", "line_no").distinct()
+
+
+def p1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the repeated lines of each insurer occur."""
+    found = _excess(spark, sf_dir)[1]
+    return found.groupBy("cnpj", "scope").agg(F.count("*").alias("occurrences"), F.countDistinct("clause_id").alias("clauses"), F.max("n_within").alias("most_within"))
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausemill.llm.repeated_lines import without_excess
+
+    own, found = _excess(spark, sf_dir)
+    return without_excess(own, "clause_id", "cnpj", "text", found).distinct()
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausemill.llm.splitting import pieces
+
+    return pieces(_clauses(spark, sf_dir), "clause_id", "text", ["document_id"], limit=3000, overlap=300)
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = F.when(F.bool_and(F.col("rule") == "item"), "item").otherwise("window")
+    return _pieces(spark, sf_dir).groupBy("clause_id").agg(rule.alias("cut_rule"))
+
+
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two split counts of each filing that has any clause."""
+    own = _pieces(spark, sf_dir).groupBy("document_id").agg(F.count_if(F.col("rule") == "item").alias("item"), F.count_if(F.col("rule") == "window").alias("window"))
+    every = _clauses(spark, sf_dir).select("document_id").distinct()
+    return every.join(own, "document_id", "left").select("document_id", F.coalesce("item", F.lit(0)).alias("item_boundary_split_count"), F.coalesce("window", F.lit(0)).alias("sliding_window_split_count"))
+
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausemill.llm.tokenize_corpus import token_ids
@@ -32,7 +87,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p8_containers, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p4_found, p4_pieces, p4_counts, p7_ids, p8_containers, p8_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
