@@ -45,6 +45,25 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_excess(own, "clause_id", "cnpj", "text", found).distinct()
 
 
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from clausemill.llm.near_duplicates import near_pairs
+
+    own = _clauses(spark, sf_dir).select("clause_id", F.regexp_replace("susep_process", "[^0-9]", "").alias("process"), "text")
+    return near_pairs(own, "clause_id", "process", "text", threshold=0.6, width=3)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir)[0].select(F.col("a").alias("clause_id_a"), F.col("b").alias("clause_id_b")).distinct()
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each clause that has a reworded copy under another process."""
+    from clausemill.llm.near_duplicates import near_groups
+
+    _, members, links = _near(spark, sf_dir)
+    return near_groups(members, links).withColumnRenamed("id", "clause_id")
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausemill.llm.splitting import pieces
 
@@ -87,7 +106,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p4_found, p4_pieces, p4_counts, p7_ids, p8_containers, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_groups, p4_found, p4_pieces, p4_counts, p7_ids, p8_containers, p8_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
