@@ -64,6 +64,19 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(members, links).withColumnRenamed("id", "clause_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausemill.llm.passages import shared_passages
+
+    return shared_passages(_clauses(spark, sf_dir), "clause_id", "document_id", "text", span=300)
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each clause that has a shared passage stands in other documents too."""
+    own = p3_found(spark, sf_dir).groupBy("clause_id").agg(F.count("*").alias("passages"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("shared_chars"))
+    sizes = _clauses(spark, sf_dir).groupBy("clause_id").agg(F.max(F.char_length("text")).alias("text_chars"))
+    return own.join(sizes, "clause_id").withColumn("share", F.col("shared_chars") / F.col("text_chars"))
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausemill.llm.splitting import pieces
 
@@ -106,7 +119,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_groups, p4_found, p4_pieces, p4_counts, p7_ids, p8_containers, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_groups, p3_found, p3_shares, p4_found, p4_pieces, p4_counts, p7_ids, p8_containers, p8_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
