@@ -99,6 +99,27 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(own, "document_id", "left").select("document_id", F.coalesce("item", F.lit(0)).alias("item_boundary_split_count"), F.coalesce("window", F.lit(0)).alias("sliding_window_split_count"))
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausemill.llm.personal import find_personal
+
+    def texts(name: str, key: str, column: str, flag: bool = False) -> DataFrame:
+        mark = F.col("pii_flag") if flag else F.lit(None).cast("string")
+        return table(spark, sf_dir, name).select(F.lit(name).alias("source_table"), F.col(key).alias("record_id"), F.col(column).alias("text"), mark.alias("pii_flag"))
+
+    every = texts("claim", "claim_id", "raw_text").unionByName(texts("product_claim_mismatch", "claim_id", "narrative")).unionByName(texts("product_claim_mismatch_draft", "row_id", "narrative", True))
+    return find_personal(every.distinct(), "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = _personal(spark, sf_dir).select("source_table", "record_id", F.explode("details").alias("d"))
+    return one.select("source_table", "record_id", F.col("d.pii_type").alias("pii_type"), F.col("d.start_pos").alias("start_pos")).distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text with placeholders, next to the flag that came with it and the types found."""
+    return _personal(spark, sf_dir).select("source_table", "record_id", "pii_flag", F.array_sort(F.array_distinct("details.pii_type")).alias("found"), "redacted")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausemill.llm.tokenize_corpus import token_ids
 
@@ -119,7 +140,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_groups, p3_found, p3_shares, p4_found, p4_pieces, p4_counts, p7_ids, p8_containers, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_groups, p3_found, p3_shares, p4_found, p4_pieces, p4_counts, p6_found, p6_redacted, p7_ids, p8_containers, p8_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
