@@ -139,8 +139,24 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("pieces").alias("pieces"), F.max("used").alias("fullest"), (F.sum("used") / (F.count("*") * CAPACITY)).alias("share_used"))
 
 
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausemill.llm.subjects import subject_shares
+
+    return subject_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), "doc_id", "text", "subject")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shares(spark, sf_dir).where("sentences * 5 >= of_sentences").select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and sentences of each area, of areas without documents too."""
+    found = _shares(spark, sf_dir).where("sentences * 5 >= of_sentences").groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.sum("sentences").alias("sentences"))
+    return table(spark, sf_dir, "subject_area").select("subject").distinct().join(found, "subject", "left").fillna(0, ["documents", "sentences"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_groups, p3_found, p3_shares, p4_found, p4_pieces, p4_counts, p6_found, p6_redacted, p7_ids, p8_containers, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_groups, p3_found, p3_shares, p4_found, p4_pieces, p4_counts, p6_found, p6_redacted, p7_ids, p8_containers, p8_fill, p9_found, p9_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
