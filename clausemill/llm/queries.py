@@ -99,6 +99,25 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(own, "document_id", "left").select("document_id", F.coalesce("item", F.lit(0)).alias("item_boundary_split_count"), F.coalesce("window", F.lit(0)).alias("sliding_window_split_count"))
 
 
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausemill.llm.scan_repair import repair
+
+    own = _clauses(spark, sf_dir).select("clause_id", "document_id", "insurer", "text")
+    scanned = own.join(_filings(spark, sf_dir, "ocr_required", "partial"), "document_id", "left_semi")
+    clean = own.join(_filings(spark, sf_dir, "text"), "document_id", "left_semi")
+    return repair(scanned, clean, "clause_id", "document_id", "insurer", "text")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = _repaired(spark, sf_dir).select("clause_id", F.explode("kinds").alias("k"))
+    return one.select("clause_id", F.col("k.line_no").alias("line_no"), F.col("k.kind").alias("kind")).distinct()
+
+
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each scanned clause as continuous paragraphs."""
+    return _repaired(spark, sf_dir).select("clause_id", F.col("repaired").alias("text"))
+
+
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausemill.llm.personal import find_personal
 
@@ -156,7 +175,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_groups, p3_found, p3_shares, p4_found, p4_pieces, p4_counts, p6_found, p6_redacted, p7_ids, p8_containers, p8_fill, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_groups, p3_found, p3_shares, p4_found, p4_pieces, p4_counts, p5_found, p5_text, p6_found, p6_redacted, p7_ids, p8_containers, p8_fill, p9_found, p9_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
