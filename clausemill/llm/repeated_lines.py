@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.llm.arrow import slices
-from clausemill.llm.textarrays import Hasher, codepoints, firsts, fold_table
+from clausemill.llm.textarrays import DIGIT, Hasher, codepoints, fold_table
 from clausemill.storage import stash
 
 BROADCAST_ROWS = 500_000
@@ -50,12 +50,12 @@ def line_keys(texts: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray,
     folded, text_of, line_no, first_char = folded[keep], text_of[keep], (total - newline)[keep], first_char[keep]
     line_no = line_no - before[text_of]
     fresh = np.r_[True, (line_no[1:] != line_no[:-1]) | (text_of[1:] != text_of[:-1])]
-    run = (folded == 35) | (folded == 32)
+    run = (folded == DIGIT) | (folded == 32)
     again = np.zeros(len(folded), dtype=bool)
     again[1:] = run[1:] & (folded[1:] == folded[:-1]) & ~fresh[1:]
     stay = ~again & (folded != 10)
     folded, text_of, line_no = folded[stay], text_of[stay], line_no[stay]
-    # a literal # is an outer character that stays, like the # that stands for digits
+    folded[folded == DIGIT] = 35  # one # for a run of digits; a # in the text stays beside it
     inner = ((folded >= 97) & (folded <= 122)) | (folded == 35)
     at = np.flatnonzero(inner)
     if not len(at):

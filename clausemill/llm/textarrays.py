@@ -7,6 +7,8 @@ import unicodedata
 
 import numpy as np
 
+#: Stands for a digit in folded text; no character has this code.
+DIGIT = 0x10FFFE
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -26,8 +28,8 @@ def word_table() -> np.ndarray:
 
 @functools.lru_cache(maxsize=1)
 def fold_table() -> np.ndarray:
-    """Each code point in lower case without accents; 0 for a combining mark, ``#`` for a digit, a blank for
-    white space other than the newline."""
+    """Each code point in lower case without accents; 0 for a combining mark, ``DIGIT`` for a digit, a blank for white
+    space other than the newline."""
     out = np.arange(0x110000, dtype=np.uint32)
     for c in range(0x30000):
         ch = chr(c)
@@ -36,7 +38,7 @@ def fold_table() -> np.ndarray:
         if ch.isspace():
             out[c] = 32
         elif ch.isdecimal():
-            out[c] = 35
+            out[c] = DIGIT
         elif unicodedata.combining(ch):
             out[c] = 0
         elif c < 128:
