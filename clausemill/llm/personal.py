@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.personal_training import fold, training_texts
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 16
 TRAINING_TEXTS = 1400
 EPOCHS = 6
 MAX_NAME = 6
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 #: Words a street's type is written as.
 STREETS = frozenset("rua r avenida av travessa tv alameda al praca pca estrada rodovia rod largo viela".split())
+#: The longer of them also with two neighbouring letters exchanged, by rule.
+STREETS |= {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for w in STREETS if len(w) > 4 for i in range(len(w) - 1)}
 LINKS = frozenset("de da do das dos e".split())
 _AT = r"(?:@|\(\s*(?:arroba|at)\s*\)|\[\s*(?:arroba|at)\s*\]|\barroba\b)"
 _DOT = r"(?:\.|\s*\(\s*ponto\s*\)\s*|\s*\[\s*(?:ponto|dot)\s*\]\s*|\s+ponto\s+|\s*\(\s*dot\s*\)\s*)"
@@ -45,34 +47,37 @@ EMAIL = re.compile(rf"[\w.+\-]*\w(?:\s+ponto\s+[\w.+\-]*\w)*\s*{_AT}\s*[\w\-]+(?
 NUMBER = re.compile(r"(?:\+\d{1,3}[ ]?)?(?:\(\d{2,3}\)[ ]?)?\d+(?:[ .\-/]\d+)*(?:-?[Xx]\b)?")
 GROUP = re.compile(r"(?:\+|\((?=\d{2,3}\)))?\d+")
 CODE = re.compile(r"\b[A-Za-z]{3}[ \-]?\d[A-Za-z0-9]\d{2}\b|\b[A-Za-z]{2}\d{6}\b")
-HOUSE = re.compile(r"^((?:[^\W\d_]+\.?[ ]+){1,7}?)?(?:[^\W\d_]+)(?:[ ]*,[ ]*|[ ]+)(?:(?:n[.º°o]*|num\.?|número|numero)[ ]*)?(\d{1,5})\b(?!\s*(?:h\b|h\d|dias|/|km))", re.IGNORECASE)
+_PART = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+HOUSE = re.compile(rf"^((?:{_PART}\.?[ \n]+){{1,7}}?)?(?:{_PART})(?:[ ]*,[ \n]*|[ \n]+)(?:(?:n[.º°o]*|num\.?|número|numero)[ \n]*)?(\d{{1,5}})\b(?!\s*(?:h\b|h\d|dias|/|km))", re.IGNORECASE)
 TAIL = re.compile(r"^(?:[ ]*,[ ]*(?:apto?\.?|apartamento|casa|bloco|sala|fundos)[ ]*\d*|[ ]*-[ ]*CEP[ ]*\d{5}-?\d{3})+", re.IGNORECASE)
 QUARTER = re.compile(r"^[ ]*,[ ]*[^\W\d_]+(?:[ ][^\W\d_]+){0,5}(?=[ ]*[.,;\n]|[ ]*$)")
 
 Segment = tuple[int, int, str, list[str]]
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+def bucket(word: str) -> tuple[int, int]:
+    """A word's two places in the tables; of two counts the smaller is nearer the truth."""
+    raw = word.encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw) % BUCKETS, BUCKETS + zlib.crc32(raw[::-1], 0x9E3779B9) % BUCKETS
 
 
 class Lexicon:
     """Whether a folded word is usually written with a capital (1), without (-1), or hardly known (0)."""
 
     def __init__(self, capital: np.ndarray, lower: np.ndarray):
-        self.state = np.zeros(BUCKETS, dtype=np.int8)
-        total = capital + lower
-        self.state[(total >= 3) & (capital > 0.6 * total)] = 1
-        self.state[(total >= 3) & (capital < 0.25 * total)] = -1
+        self.capital, self.lower = np.minimum(capital, 1 << 30).astype(np.int32), np.minimum(lower, 1 << 30).astype(np.int32)
 
     def __call__(self, word: str) -> int:
-        return int(self.state[bucket(word)])
+        a, b = bucket(word)
+        capital, lower = min(self.capital[a], self.capital[b]), min(self.lower[a], self.lower[b])
+        total = int(capital) + int(lower)
+        return 0 if total < 3 else 1 if capital > 0.6 * total else -1 if capital < 0.25 * total else 0
 
 
 def case_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Per bucket: words with a capital inside a sentence, words in lower case; only texts of mixed case count."""
-    capital, lower = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
-    memo: dict[str, int] = {}
+    capital, lower = np.zeros(2 * BUCKETS, dtype=np.int64), np.zeros(2 * BUCKETS, dtype=np.int64)
+    memo: dict[str, tuple[int, int]] = {}
     for text in texts:
         if not text or text == text.lower() or text == text.upper():
             continue
@@ -83,9 +88,11 @@ def case_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
                 if at is None:
                     at = memo[token] = bucket(fold(token))
                 if token[0].islower():
-                    lower[at] += 1
+                    lower[at[0]] += 1
+                    lower[at[1]] += 1
                 elif before not in ".!?:" and not token.isupper():
-                    capital[at] += 1
+                    capital[at[0]] += 1
+                    capital[at[1]] += 1
             before = token
     return capital, lower
 
@@ -143,7 +150,7 @@ def candidates(text: str, lexicon: Callable[[str], int]) -> list[Segment]:
     for i, (start, end, word) in enumerate(tokens):
         if word in STREETS:
             after = end + (text[end : end + 1] == ".")
-            gap = re.match(r"[ ]+", text[after:])
+            gap = re.match(r"[ \n]+", text[after:])
             got = HOUSE.match(text[after + gap.end() :]) if gap else None
             if got:
                 stop = after + gap.end() + got.end(2)
@@ -163,12 +170,13 @@ def candidates(text: str, lexicon: Callable[[str], int]) -> list[Segment]:
         for j in range(i + 1, min(len(tokens), i + MAX_NAME)):
             between = text[tokens[j - 1][1] : tokens[j][0]]
             last = words[j]
-            if between.strip(" ") or "\n" in between or not last[0].isalpha() or not between:
+            stop = text[tokens[j][1] : tokens[j][1] + 1]
+            if between.strip(" \n") or between.count("\n") > 1 or not last[0].isalpha() or not between:
                 break
-            if last in LINKS:
+            if last in LINKS and not (len(last) == 1 and stop == "." and (plain_case or text[tokens[j][0]].isupper())):
                 continue
             initial = len(last) == 1
-            if initial and text[tokens[j][1] : tokens[j][1] + 1] != "." and (plain_case or last in "aeo" or not text[tokens[j][0]].isupper()):
+            if initial and stop != "." and (plain_case or last in "aeo" or not text[tokens[j][0]].isupper()):
                 break
             state = [lexicon(w) for w in words[i : j + 1] if w not in LINKS and len(w) > 1]
             if not initial and min(state) < 0:
@@ -177,11 +185,11 @@ def candidates(text: str, lexicon: Callable[[str], int]) -> list[Segment]:
                 continue
             caps = [text[tokens[k][0]].isupper() for k in range(i, j + 1) if words[k] not in LINKS]
             form = "".join("e" if w == "e" else "d" if w in LINKS else "i" if len(w) == 1 else "w" for w in words[i : j + 1])
-            inside = [f"form={form}", f"caps={'none' if plain_case else 'all' if all(caps) else 'some' if any(caps) else 'no'}", f"known={min(state, default=0)}{max(state, default=0)}", f"first={lexicon(word)}", f"street={near_street}", f"street+form={near_street}{form}", f"w0={word}"]
+            inside = [f"form={form}", f"caps={'none' if plain_case else 'all' if all(caps) else 'some' if any(caps) else 'no'}", f"known={min(state, default=0)}{max(state, default=0)}", f"first={lexicon(word)}", f"street={near_street}", f"street+form={near_street}{form}", f"w0={word}", f"wrap={chr(10) in text[tokens[i][0] : tokens[j][1]]}"]
             add(tokens[i][0], tokens[j][1], "person_name", inside)
             if initial:
                 k = j + 2  # a family name may follow the initial's full stop
-                if k < len(tokens) and text[tokens[j][1] : tokens[k][0]] == ". " and words[k][0].isalpha() and lexicon(words[k]) >= 0 and len(words[k]) > 2:
+                if k < len(tokens) and text[tokens[j][1] : tokens[k][0]] in (". ", ".\n") and words[k][0].isalpha() and lexicon(words[k]) >= 0 and len(words[k]) > 2:
                     add(tokens[i][0], tokens[k][1], "person_name", [*inside, f"family={lexicon(words[k])}", f"familycase={text[tokens[k][0]].isupper()}"])
                 break
     return out
@@ -297,10 +305,10 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 
 
 def corpus_lexicon(texts: DataFrame, text_col: str) -> Lexicon:
-    """Case statistics over all texts; at most BUCKETS rows reach the driver."""
+    """Case statistics over all texts; at most twice BUCKETS rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        capital, lower = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+        capital, lower = np.zeros(2 * BUCKETS, dtype=np.int64), np.zeros(2 * BUCKETS, dtype=np.int64)
         for batch in batches:
             a, b = case_counts(batch.column(0).to_pylist())
             capital += a
@@ -309,7 +317,7 @@ def corpus_lexicon(texts: DataFrame, text_col: str) -> Lexicon:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(capital[at]), pa.array(lower[at])], names=["b", "c", "l"])
 
     counted = texts.select(text_col).mapInArrow(run, "b int, c bigint, l bigint").groupBy("b").agg(F.sum("c"), F.sum("l")).collect()
-    capital, lower = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    capital, lower = np.zeros(2 * BUCKETS, dtype=np.int64), np.zeros(2 * BUCKETS, dtype=np.int64)
     for b, c, n in counted:
         capital[b], lower[b] = c, n
     return Lexicon(capital, lower)
@@ -320,14 +328,12 @@ def find_personal(texts: DataFrame, text_col: str, lexicon: Lexicon | None = Non
     lexicon = lexicon or corpus_lexicon(texts, text_col)
     model = trained()
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((model.weights, lexicon.state))  # features of the training texts; BUCKETS bytes
+    shared = spark.sparkContext.broadcast((model.weights, lexicon.capital, lexicon.lower))  # features of the training texts; four BUCKETS of counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, state = shared.value
+        weights, capital, lower = shared.value
         own = SegmentModel(weights)
-        lookup = Lexicon(np.zeros(BUCKETS), np.zeros(BUCKETS))
-        lookup.state = state
-        known = functools.lru_cache(maxsize=100_000)(lookup.__call__)
+        known = functools.lru_cache(maxsize=100_000)(Lexicon(capital, lower).__call__)
         kind = pa.list_(pa.struct([("start_pos", pa.int64()), ("end_pos", pa.int64()), ("pii_type", pa.string())]))
         for batch in batches:
             every = batch.column(text_col).to_pylist()

@@ -32,6 +32,8 @@ O boletim saiu em nome de {name}.
 No documento aparece {name} como proprietária.
 Quem empurrou o carro comigo foi {name}, do mercadinho.
 Assinado: {name}.
+Segurado: {name}
+Segurada: {name}.
 Att, {name}
 Grata, {name}.
 Atenciosamente, {name}.
@@ -189,7 +191,7 @@ class Values:
 
     def street_name(self) -> str:
         r, a, b = self.rng, self.rng.choice(self.surnames), self.rng.choice(self.surnames)
-        return r.choice(STREET_TYPES) + " " + r.choice([f"Doutor {a}", f"da Ladeira {a}", f"do {a}", f"das {a}s {b}s", f"Coronel {a}", f"{self.rng.choice(self.given)} {a}", f"Nossa Senhora das {a}s {b}s", f"Engenheiro {a} {b}", "Sete de Janeiro"])
+        return r.choice(STREET_TYPES) + " " + r.choice([f"Doutor {a}", f"da Ladeira {a}", f"do {a}", f"das {a}s {b}s", f"Coronel {a}", f"{self.rng.choice(self.given)} {a}", f"Nossa Senhora das {a}s {b}s", f"do {a}-da-{b}", f"Engenheiro {a} {b}", "Sete de Janeiro"])
 
     def street(self) -> str:
         n = self.digits(self.rng.choice([2, 3, 4]))
@@ -266,6 +268,8 @@ def training_texts(n: int, seed: int = 11) -> tuple[list[tuple[str, list[tuple[i
                     value = value.rstrip(".") if line[at : at + 1] == "." and kind == "person_name" else value
                     spans.append((len(text) + len(piece), len(text) + len(piece) + len(value), kind))
                 piece += value
+            if rng.random() < 0.2:  # lines broken after a full stop, also that of an abbreviation
+                piece = piece.replace(". ", ".\n")
             text += piece + (" " if rng.random() < 0.85 else "\n")
         how = rng.random()
         if how < 0.14:
