@@ -59,3 +59,30 @@ def running_line_keys(clauses: DataFrame, share: float, least: int = 2) -> DataF
     seen = lines(clauses, ["document_id", "clause_id"]).select("document_id", "clause_id", key.alias("line_key")).where("line_key <> ''").distinct()
     total = clauses.groupBy("document_id").agg(F.count("*").alias("n"))
     return seen.groupBy("document_id", "line_key").agg(F.count("*").alias("clauses")).join(total, "document_id").where((F.col("clauses") >= F.col("n") * share) & (F.col("clauses") >= least)).select("document_id", "line_key", "clauses")
+
+
+def segment(lines_in_order: DataFrame, document: str, position: str, line: str) -> DataFrame:
+    """(document, heading_no, label, title, parent_label, depth, first, body_lines): headings found in a document's lines.
+
+    A heading is a dotted number closed by a full stop and a capitalised title; the lines up to the next heading are
+    its body. Lines before the first heading belong to heading 0 without a label. Documents are segmented side by
+    side; a document's lines are one window.
+    """
+    heading = F.regexp_extract(line, r"^([0-9]+(?:\.[0-9]+)*)\.\s+\p{Lu}", 1)
+    w = Window.partitionBy(document).orderBy(position)
+    marked = lines_in_order.withColumn("_label", F.nullif(heading, F.lit(""))).withColumn("heading_no", F.sum(F.when(F.col("_label").isNotNull(), 1).otherwise(0)).over(w))
+    each = marked.groupBy(document, "heading_no").agg(F.max("_label").alias("label"), F.min_by(line, F.struct(F.col("_label").isNull(), F.col(position))).alias("_line"), F.min(position).alias("first"), F.count_if(F.col("_label").isNull()).alias("body_lines"))
+    parent = F.when(F.instr("label", ".") > 0, F.regexp_replace("label", r"\.[0-9]+$", ""))
+    return each.select(document, "heading_no", "label", F.when(F.col("label").isNotNull(), F.col("_line")).alias("title"), parent.alias("parent_label"), F.size(F.split("label", r"\.")).alias("depth"), "first", "body_lines")
+
+
+def folded_units(clauses: DataFrame, least: int) -> DataFrame:
+    """(document_id, unit_id, parts, chars): clauses shorter than ``least`` folded into the parent they have here.
+
+    A short clause without a parent in the table stands alone.
+    """
+    own = clauses.select("clause_id", "document_id", "parent_id", F.char_length("text").alias("chars"))
+    known = own.select(F.col("clause_id").alias("parent_id"), F.lit(True).alias("has_parent"))
+    placed = own.join(known, "parent_id", "left")
+    unit = F.when((F.col("chars") < least) & F.col("has_parent"), F.col("parent_id")).otherwise(F.col("clause_id"))
+    return placed.groupBy("document_id", unit.alias("unit_id")).agg(F.count("*").alias("parts"), F.sum("chars").alias("chars"))

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clausemill.functions import arrow as ar
 from clausemill.functions import numbers as nm
 from clausemill.functions import text as tx
+from clausemill.operators import approximate as ap
 from clausemill.operators import retrieval as rt
 from clausemill.operators import structure as st
 from clausemill.operators import tables as tb
@@ -581,3 +583,68 @@ def q_event_dedup(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "events").select("event_id", "ts")
     twice = own.unionByName(own)
     return ev.without_repeats(twice).agg(F.count("*").alias("events")).crossJoin(F.broadcast(twice.agg(F.count("*").alias("rows"))))  # one row on either side
+
+
+# ---- segmentation, folding, approximate search, text forms ------------------------------------------------------
+
+_NUMBER = "regexp_extract(title, '^([0-9]+(?:\\.[0-9]+)*)', 1)"
+
+
+@_query(f"WITH {CLAUSES} SELECT document_id, {_NUMBER} AS label, CASE WHEN contains({_NUMBER}, '.') THEN regexp_replace({_NUMBER}, '\\.[0-9]+$', '') END AS parent_label, len(string_split({_NUMBER}, '.')) AS depth, len(string_split(text, chr(10))) AS body_lines FROM c")
+def q_segment(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written out line by line and segmented again; the clauses they were made of come back."""
+    w = Window.partitionBy("document_id").orderBy(F.col("path_order"), "clause_id")
+    own = clauses(spark, d).select("document_id", "clause_id", "title", "text", F.transform(F.split("path", "[/.]"), lambda x: x.cast("int")).alias("path_order"))
+    written = own.withColumn("k", F.row_number().over(w)).select("document_id", "k", F.posexplode(F.concat(F.array("title"), F.split("text", "\n", -1))).alias("n", "line"))
+    return st.segment(written.withColumn("position", F.struct("k", "n")), "document_id", "position", "line").select("document_id", "label", "parent_label", "depth", "body_lines")
+
+
+@_query(f"WITH {CLAUSES}, u AS (SELECT c.document_id, CASE WHEN length(c.text) < 500 AND p.clause_id IS NOT NULL THEN c.parent_id ELSE c.clause_id END AS unit_id, length(c.text) AS chars FROM c LEFT JOIN c p ON p.clause_id = c.parent_id), g AS (SELECT document_id, unit_id, count(*) AS parts, sum(chars) AS chars FROM u GROUP BY 1, 2) SELECT document_id, count(*) FILTER (WHERE parts = 1 AND chars <= 3000) AS single_units, count(*) FILTER (WHERE parts > 1 AND chars <= 3000) AS merged_units, count(*) FILTER (WHERE chars > 3000) AS oversized_units FROM g GROUP BY 1")
+def q_folded_units(spark: SparkSession, d: str) -> DataFrame:
+    units = st.folded_units(clauses(spark, d), 500)
+    return units.groupBy("document_id").agg(F.count_if((F.col("parts") == 1) & (F.col("chars") <= 3000)).alias("single_units"), F.count_if((F.col("parts") > 1) & (F.col("chars") <= 3000)).alias("merged_units"), F.count_if(F.col("chars") > 3000).alias("oversized_units"))
+
+
+@_query()
+def q_approximate_topk(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "embeddings")
+    return ap.search(own, "vec_id", "embedding", own.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
+
+
+@_query()
+def q_approximate_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the exact ten nearest that the index finds."""
+    exact = _near(spark, d, 10).select("question", "vec_id")
+    found = q_approximate_topk(spark, d).select("question", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["question", "vec_id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall_at_10"), F.count("*").alias("of"))
+
+
+@_query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS n FROM b), z AS (SELECT r.question, r.clause_id, r.n, len(list_intersect(list_distinct({TOKENS.format('q.asked')}), list_distinct({TOKENS.format('c.title')}))) AS shared FROM r JOIN q USING (question) JOIN c USING (clause_id) WHERE n <= 10), o AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY shared DESC, n) AS rank FROM z) SELECT question, clause_id, shared, rank FROM o")
+def q_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best rescored by words shared with the title; ties keep the order they had."""
+    top = rt.best(_scored(spark, d), "question", "clause_id", "score", 10).withColumnRenamed("rank", "n")
+    said = clauses(spark, d).select("clause_id", "title")
+    both = top.join(said, "clause_id").join(questions(spark, d).select("question", "asked"), "question")
+    shared = F.size(F.array_intersect(F.array_distinct(tx.tokens("asked")), F.array_distinct(tx.tokens("title"))))
+    w = Window.partitionBy("question").orderBy(F.desc("shared"), "n")
+    return both.withColumn("shared", shared).withColumn("rank", F.row_number().over(w)).select("question", "clause_id", "shared", "rank")
+
+
+@_query()
+def q_text_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that the compatibility form or the layout rules change, by source."""
+    own = table(spark, d, "documents").where("text is not null")
+    changed = own.select("source", (ar.compatible("text") != F.col("text")).alias("form"), (tx.normalize_layout("text") != F.col("text")).alias("layout"), (F.length(ar.letters_only("text")) < F.length("text")).alias("beyond_ascii"))
+    return changed.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("form").alias("form_changes"), F.count_if("layout").alias("layout_changes"), F.count_if("beyond_ascii").alias("beyond_ascii"))
+
+
+@_query("SELECT coalesce(lower(trim(lang)), 'none') AS lang, count(*) AS documents, count(*) FILTER (WHERE n_chars IS DISTINCT FROM length(text)) AS wrong_lengths, count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS blank FROM documents GROUP BY 1")
+def q_document_audit(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "documents")
+    return own.groupBy(F.coalesce(F.lower(F.trim("lang")), F.lit("none")).alias("lang")).agg(F.count("*").alias("documents"), F.count_if(~F.col("n_chars").eqNullSafe(F.char_length("text"))).alias("wrong_lengths"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"))
+
+
+@_query("WITH d AS (SELECT DISTINCT text, doc_id, source FROM documents WHERE length(trim(text)) >= 30) SELECT substr(sha256(text), 1, 16) AS key, count(*) AS copies, count(DISTINCT source) AS sources, min(doc_id) AS first_id FROM d GROUP BY text HAVING count(*) > 1")
+def q_equal_documents(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "documents").where(F.char_length(F.trim("text")) >= 30).select(F.sha2("text", 256).alias("h"), "doc_id", "source")
+    return own.groupBy("h").agg(F.count("*").alias("copies"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first_id")).where("copies > 1").select(F.substring("h", 1, 16).alias("key"), "copies", "sources", "first_id")
