@@ -18,7 +18,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     made = getattr(spark.sparkContext, "_clausemill_dir", None)
