@@ -324,7 +324,11 @@ def corpus_lexicon(texts: DataFrame, text_col: str) -> Lexicon:
 
 
 def find_personal(texts: DataFrame, text_col: str, lexicon: Lexicon | None = None) -> DataFrame:
-    """The input with ``details`` ARRAY<STRUCT<start_pos, end_pos, pii_type>> and ``redacted`` added."""
+    """The input with ``details`` ARRAY<STRUCT<start_pos, end_pos, pii_type>> and ``redacted`` added.
+
+    Columns of these names in the input are replaced.
+    """
+    texts = texts.drop(*({"details", "redacted"} - {text_col}))
     lexicon = lexicon or corpus_lexicon(texts, text_col)
     model = trained()
     spark = texts.sparkSession

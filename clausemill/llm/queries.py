@@ -178,5 +178,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_groups, p3_found, p3_shares, p4_found, p4_pieces, p4_counts, p5_found, p5_text, p6_found, p6_redacted, p7_ids, p8_containers, p8_fill, p9_found, p9_composition)}
 
 
+_SPACE = r"[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]"
+_NORMAL = rf"regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(line)), '\d+', '#', 'g'), '{_SPACE}+', ' ', 'g'), '^[^a-z0-9#]+|[^a-z0-9#]+$', '', 'g')"
+_P1 = f"""WITH t AS (SELECT DISTINCT clause_id, cnpj, text FROM parsed_clause WHERE document_id IN (SELECT id FROM manifest WHERE lower(trim(extraction_mode)) = 'text')),
+l AS (SELECT clause_id, cnpj, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM t),
+n AS (SELECT clause_id, cnpj, line_no, {_NORMAL} AS said FROM l),
+r AS (SELECT cnpj, said FROM n WHERE length(said) >= 15 GROUP BY 1, 2 HAVING count(DISTINCT clause_id) >= 8)
+SELECT DISTINCT clause_id, line_no FROM n JOIN r USING (cnpj, said)"""
+_P4 = rf"""WITH t AS (SELECT DISTINCT clause_id, text FROM parsed_clause WHERE length(text) > 3000),
+l AS (SELECT clause_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM t),
+m AS (SELECT clause_id, line, line_no, regexp_matches(line, '^(?:[A-Za-z]{{1,2}}\)|[•–-]){_SPACE}+[^\s\x{{a0}}]') AS item FROM l),
+p AS (SELECT clause_id, line, item, sum(item::INT) OVER (PARTITION BY clause_id ORDER BY line_no) AS piece FROM m),
+s AS (SELECT clause_id, piece, bool_or(item) AS item, sum(length(line) + 1) - 1 AS size FROM p GROUP BY 1, 2)
+SELECT clause_id, CASE WHEN bool_or(item) AND max(size) <= 3000 THEN 'item' ELSE 'window' END AS cut_rule FROM s GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where SQL can say it over whole tables; the other queries are tested in tests/llm."""
+    return {"p1_found": _P1, "p4_found": _P4}
