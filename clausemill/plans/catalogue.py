@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import arrow as ar
 from clausemill.functions import numbers as nm
 from clausemill.functions import text as tx
+from clausemill.functions.stemming import stem_terms
 from clausemill.operators import approximate as ap
 from clausemill.operators import retrieval as rt
 from clausemill.operators import structure as st
@@ -648,3 +649,10 @@ def q_document_audit(spark: SparkSession, d: str) -> DataFrame:
 def q_equal_documents(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents").where(F.char_length(F.trim("text")) >= 30).select(F.sha2("text", 256).alias("h"), "doc_id", "source")
     return own.groupBy("h").agg(F.count("*").alias("copies"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first_id")).where("copies > 1").select(F.substring("h", 1, 16).alias("key"), "copies", "sources", "first_id")
+
+
+@_query()
+def q_stems(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the corpus under their folded stems; each distinct term is stemmed once."""
+    found = rt.postings(_corpus(spark, d), "clause_id", "body").groupBy("term").agg(F.count("*").alias("df"))
+    return stem_terms(found, "term").groupBy(tx.fold("stem").alias("stem")).agg(F.count("*").alias("terms"), F.max("df").alias("most_df"))
