@@ -10,7 +10,7 @@ def nearest_rank(values: Column | str, share: float) -> Column:
     """Of an array of values the one at position floor(n * share) of the sorted values, the last at most."""
     ordered = F.array_sort(values)
     n = F.size(ordered)
-    return F.try_element_at(ordered, (F.least(F.floor(n * F.lit(share)).cast("int"), n - 1) + 1).cast("int"))
+    return F.when(n > 0, F.try_element_at(ordered, F.greatest(F.lit(1), F.least(F.floor(n * F.lit(share)).cast("int"), n - 1) + 1).cast("int")))
 
 
 def two_form_date(c: Column | str) -> Column:

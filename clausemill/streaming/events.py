@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
-    """A stream over a folder of event files with the schema of those there now."""
+    """A stream over a folder of event files with the schema of those there now; ``ts`` as a point in time."""
     schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need the type with a zone
 
 
 def late_bound(events: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -107,7 +107,7 @@ def test_files_round_trip(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, data, tmp_path):
-    events = spark.read.parquet(f"{data}/events.parquet")
+    events = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(3).write.parquet(f"{tmp_path}/in")
     stream = ev.tumbling(ev.late_bound(ev.read_events(spark, f"{tmp_path}/in"), "60 days"), "1 day")
     query = stream.writeStream.format("memory").queryName("tumbled").outputMode("complete").trigger(availableNow=True).start()
