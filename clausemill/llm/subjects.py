@@ -7,8 +7,7 @@ the labelled documents say with what the leaves say in which it occurs, so terms
 known through their leaf. A document is a mixture: each sentence goes to the area its terms speak for, or to none,
 and the areas that reach the least share are assigned.
 
-Document frequencies, leaf and label counts run over all documents; clusters are fitted on about ``SAMPLE``
-documents chosen by a hash of their id. Everything that reaches the driver is bounded by ``DIMENSIONS`` times the
+Document frequencies, clusters, leaf and label counts run over all documents. Everything that reaches the driver is bounded by ``DIMENSIONS`` times the
 leaves or areas.
 
 Cases: null, empty and blank texts have no area; broken encodings, markup and control characters are repaired
@@ -32,13 +31,11 @@ from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clausemill.storage import stash
 
 DIMENSIONS = 1 << 16
 CLUSTER_DIMENSIONS = 1 << 12
-SAMPLE = 15_000
 LEAVES = 32
 _WORD = re.compile(r"[a-z]{2,}")
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -94,7 +91,7 @@ def _terms(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, terms array<int>").where("size(terms) > 0")
 
 
-def fit_weights(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, leaves: int = LEAVES, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def fit_weights(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, leaves: int = LEAVES) -> tuple[list[str], np.ndarray]:
     """The areas, and a DIMENSIONS x areas table of how much a term speaks for an area."""
     terms = stash(_terms(documents, id_col, text_col), "terms")
     total = terms.count()
@@ -117,13 +114,13 @@ def fit_weights(documents: DataFrame, labels: DataFrame, id_col: str, text_col:
         at = sorted(got)
         return SparseVector(CLUSTER_DIMENSIONS, at, [float(got[i] / size) for i in at])
 
-    vectors = terms.select("id", "terms", F.udf(vector, VectorUDT())("terms").alias("features"))
-    chosen = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(min(1_000_000, math.ceil(1_000_000 * sample / total))))
-    chosen = chosen.select("features").where(F.udf(lambda v: bool(v.numNonzeros() > 0), T.BooleanType())("features"))
-    chosen = stash(chosen, "vectors")
-    clusters = min(leaves, max(2, chosen.count() // 40))
-    if chosen.count() >= 80:
-        model = BisectingKMeans(k=clusters, maxIter=8, seed=1, distanceMeasure="cosine", featuresCol="features", minDivisibleClusterSize=20.0).fit(chosen)
+    # a document without usable terms has no direction
+    vectors = terms.select(F.udf(lambda found: vector(found) if usable[found].any() else None, VectorUDT())("terms").alias("features"))
+    vectors = stash(vectors, "vectors").where("features is not null")
+    held_any = vectors.count()
+    clusters = min(leaves, max(2, held_any // 40))
+    if held_any >= 80:
+        model = BisectingKMeans(k=clusters, maxIter=8, seed=1, distanceMeasure="cosine", featuresCol="features", minDivisibleClusterSize=20.0).fit(vectors)
         centers = np.array([c / (np.linalg.norm(c) or 1.0) for c in model.clusterCenters()], dtype=np.float32)
     else:
         centers = np.zeros((1, CLUSTER_DIMENSIONS), dtype=np.float32)

@@ -101,3 +101,18 @@ def test_subjects(spark):
     none = subjects.subject_shares(df, spark.createDataFrame([], "k long, area string"), "k", "text", "area")
     assert none.count() == 0
     assert subjects.repaired("aÃ§Ã£o <b>x</b> &amp; y") == "ação  x  & y"
+
+
+def test_clusters_are_fitted_on_every_document(spark, monkeypatch):
+    seen = []
+
+    class Watched(subjects.BisectingKMeans):
+        def fit(self, dataset, params=None):
+            seen.append(dataset.count())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(subjects, "BisectingKMeans", Watched)
+    spoken = "concat_ws(' ', 'navio', concat('mar', substr('abcdefghij', 1 + id % 10, 1)), concat('rio', substr('klmnopqrst', 1 + id div 10 % 10, 1)))"
+    df = spark.range(16_000).selectExpr("id as k", f"if(id < 15990, {spoken}, '12 34') as text")
+    areas, weights = subjects.fit_weights(df, spark.createDataFrame([(1, "mar")], "k long, area string"), "k", "text", "area", leaves=2)
+    assert seen == [15_990] and areas == ["mar"]
