@@ -43,6 +43,16 @@ def test_pairs_against_brute_force(spark):
     assert none.count() == 0
 
 
+def test_evenly_edited_pairs_at_the_threshold_are_found(spark):
+    rng, rows = random.Random(8), []
+    for i in range(300):
+        text = sentence(rng, 136)
+        rows += [(f"a{i}", "p", text), (f"b{i}", "q", " ".join(f"neu{i}x{k}" if k % 12 == 6 else w for k, w in enumerate(text.split())))]
+    assert all(0.6 <= nd.jaccard(a[2], b[2], 3) < 0.61 for a, b in zip(rows[::2], rows[1::2]))
+    got = nd.near_pairs(spark.createDataFrame(rows, "k string, part string, text string"), "k", "part", "text", 0.6, 3)[0].count()
+    assert got >= 0.97 * 300
+
+
 def test_sketches_estimate_similarity():
     rng = random.Random(1)
     a = sentence(rng, 400)
