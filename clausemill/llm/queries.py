@@ -126,7 +126,7 @@ def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, name).select(F.lit(name).alias("source_table"), F.col(key).alias("record_id"), F.col(column).alias("text"), mark.alias("pii_flag"))
 
     every = texts("claim", "claim_id", "raw_text").unionByName(texts("product_claim_mismatch", "claim_id", "narrative")).unionByName(texts("product_claim_mismatch_draft", "row_id", "narrative", True))
-    return find_personal(every.distinct(), "text")
+    return find_personal(every, "text")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +135,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text with placeholders, next to the flag that came with it and the types found."""
+    """Each text with placeholders, next to the flag that came with it and the types found; repeated rows stay."""
     return _personal(spark, sf_dir).select("source_table", "record_id", "pii_flag", F.array_sort(F.array_distinct("details.pii_type")).alias("found"), "redacted")
 
 

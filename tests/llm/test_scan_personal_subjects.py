@@ -1,5 +1,10 @@
+import random
+import re
+
+import pyarrow.parquet as pq
+
 from clausemill.llm import personal, scan_repair, subjects
-from clausemill.llm.personal_training import training_texts
+from clausemill.llm.personal_training import MARKED, RULES, UNMARKED, alternatives, carrier, fold, training_texts
 
 WORDING = ["o segurado deverá comunicar o sinistro à seguradora no prazo contratado", "a franquia consta do quadro-resumo entregue ao titular", "o guincho seguirá até a oficina referenciada mais próxima"]
 
@@ -48,16 +53,36 @@ def test_known_misreadings():
     assert scan_repair.explained("casa", "cosa") is None
 
 
-def test_personal_on_held_out_sentences():
+def test_personal_on_held_out_carriers():
+    """No alternative of a rule of four or more is in both parts, so no carrier of the texts below was trained on."""
+    assert all(not set(alternatives(r, False)) & set(alternatives(r, True)) for r, every in RULES.items() if len(every) > 3)
     model = personal.trained()
-    texts, _ = training_texts(300, seed=99)
-    lexicon = personal.Lexicon(*personal.case_counts([t for t, _ in texts]))
+    lexicon = personal.Lexicon(*personal.case_counts([t for t, _ in training_texts(2000, seed=99, held_out=True)[0]]))
     right = wrong = missed = 0
-    for text, spans in texts:
+    for text, spans in training_texts(300, seed=99, held_out=True)[0]:
         got = {(s, k) for s, _, k in personal.details(text, model, lexicon)}
         want = {(s, k) for s, _, k in spans}
         right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
-    assert 2 * right / (2 * right + wrong + missed) > 0.93
+    assert 2 * right / (2 * right + wrong + missed) > 0.9
+
+
+def test_no_training_sentence_stands_in_the_tables(data):
+    tables = []
+    for name, column in (("claim", "raw_text"), ("product_claim_mismatch", "narrative"), ("product_claim_mismatch_draft", "narrative"), ("parsed_clause", "text"), ("documents", "text")):
+        tables += pq.read_table(f"{data}/{name}.parquet", columns=[column])[column].to_pylist()
+    said = "\n".join(fold(t) for t in tables if t)
+    rng = random.Random(3)
+    carriers = {carrier(rng, r, part) for r in {*MARKED, *UNMARKED} for part in (False, True) for _ in range(400)}
+    parts = {p for c in carriers for p in re.split(r"\{\w+\}", fold(c).replace("number}", "n}")) if len(p) >= 18}
+    assert len(parts) > 500
+    # pieces of a carrier between its slots, and carriers of 18 or more fixed characters with their slots open
+    assert not [p for p in parts if p in said]
+    whole = [c for c in carriers if len(re.sub(r"\{\w+\}", "", c)) >= 18 and "{" in c]
+    lines = set(re.split(r"(?<=[.!?:])\s+|\n", said))
+    for c in whole:
+        head = fold(c.split("{")[0])
+        pattern = re.compile(r".{1,60}".join(map(re.escape, re.split(r"\{\w+\}", fold(c)))))
+        assert not [x for x in lines if head in x and pattern.search(x)]
 
 
 def test_personal_rows(spark):
@@ -72,10 +97,12 @@ def test_personal_rows(spark):
 
 
 def test_best_segmentation_is_the_greatest():
-    model = personal.SegmentModel({"a": 2.0, "b": 3.0, "c": 2.5})
-    segments = [(0, 5, "x", ["a"]), (3, 8, "x", ["b"]), (8, 9, "y", ["c"]), (5, 8, "y", ["a"])]
-    assert [s[:2] for s in model.best(segments)] == [(0, 5), (5, 8), (8, 9)]
-    chance = personal._marginals(segments, model.scores(segments))
+    weights = {"x": {"f": {"a": 2.0, "b": 3.0}}, "y": {"f": {"c": 2.5, "a": 2.0}, "p1": {"um": -9.0}}}
+    model = personal.SegmentModel(weights)
+    segments = [(0, 5, "x", [("f", "a")], 0, 0), (3, 8, "x", [("f", "b")], 1, 1), (8, 9, "y", [("f", "c")], 2, 2), (5, 8, "y", [("f", "a")], 1, 1)]
+    assert [s[:2] for s in model.best(segments, ["^", "^", "^"])] == [(0, 5), (5, 8), (8, 9)]
+    assert [s[:2] for s in model.best(segments, ["um", "dois", "tres"])] == [(3, 8), (8, 9)]
+    chance = personal._marginals(segments, model.scores(segments, ["^", "^", "^"]))
     assert all(0 < p < 1 for p in chance) and chance[1] + chance[0] < 1
 
 
