@@ -22,7 +22,7 @@ did = chegou depois|ficou de ligar|presenciou a cena|pagou o reboque|trouxe as c
 whois = a condutora era|o passageiro era|a dona do veículo é|o nome dele é|quem bateu foi|quem recebeu o carro foi|o culpado seria|a segunda testemunha é|o beneficiário passa a ser|quem assina embaixo é|meu nome completo é|eu me chamo|quem vai buscar é|a outra parte é|o inquilino é|aqui quem fala é
 reach = procurem|avisem|tratar com|perguntem a|entreguei a pasta a|passei o volante para|combinei tudo com|mandem a carta a|vendi a moto para|fui socorrida por|recebi a visita de|autorizo|falei ontem com|o contrato está com|registrado por|comprado de
 close = Abraço|Cordialmente|Sem mais|Obrigado|Obrigada|Respeitosamente|Agradecido|Saudações|Ciente|De acordo|Declarante|Solicitante|Requerente|Proponente
-after = no fim da tarde|hoje cedo|pela segunda vez|se for preciso|no plantão|em horário comercial|até sexta|por gentileza|quando puderem|sem falta
+after = no fim da tarde|hoje cedo|numa segunda visita|se for preciso|no plantão|em horário comercial|até sexta|por gentileza|quando puderem|sem falta
 titled = <doc> veio em nome de {name}.|o carnê está em nome de {name}.|emitam em nome de {name}.|o seguro consta em nome de {name}, <post>.|reserva feita em nome de {name}.
 verb2 = aguardo|sigo firme|falo por todos|moro longe|não desisto|peço pressa|estou de férias|volto logo
 verb = Conheço|Represento|Encontrei|Chamem|Avisei|Indico|Nomeio|Ouçam|Era|Foi|Vi|Citei|Liberem|Processo|Autorizem|Convoquem|Falou|Assina|Sou|Procurem a|Agradeço a|Devolvam a|Respondam a|Contratei
