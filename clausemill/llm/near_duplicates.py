@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.llm.arrow import slices
-from clausemill.llm.textarrays import Hasher, firsts, mix, word_table
+from clausemill.llm.textarrays import Hasher, distinct, firsts, mix, word_table
 from clausemill.storage import stash
 
 BROADCAST_ROWS = 300_000
@@ -117,7 +117,7 @@ def signatures(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np
     bounds = np.searchsorted(heads, begin)
     key = Hasher(words, 1).of(bounds[:-1], bounds[1:]).view(np.int64)
     narrow, of = _shingles(words, bounds, width)
-    n = np.bincount((np.unique(of.astype(np.uint64) << np.uint64(40) | narrow >> np.uint64(24)) >> np.uint64(40)).astype(np.int64), minlength=len(texts))
+    n = np.bincount((distinct(of.astype(np.uint64) << np.uint64(40) | narrow >> np.uint64(24)) >> np.uint64(40)).astype(np.int64), minlength=len(texts))
     bands = _bands(_minima(narrow, of, len(texts), ROWS * BANDS, 7), ROWS)
     few = np.isin(of, np.flatnonzero(n <= SHORT))
     short_bands = _bands(_minima(narrow[few], of[few], len(texts), SHORT_ROWS * SHORT_BANDS, 3), SHORT_ROWS)

@@ -1,14 +1,16 @@
 """Problem 9: the subject areas of each document.
 
-Method: normalised tf-idf vectors of documents (words hashed into a fixed number of dimensions) are clustered by
-bisecting k-means. A leaf is labelled by its discriminative terms: the terms more frequent in the leaf than outside,
-each of which speaks for the areas of the labelled documents that hold it. A term's weight for an area mixes what
-the labelled documents say with what the leaves say in which it occurs, so terms no labelled document holds are
-known through their leaf. A document is a mixture: each sentence goes to the area its terms speak for, or to none,
-and the areas that reach the least share are assigned.
-
-Document frequencies, clusters, leaf and label counts run over all documents. Everything that reaches the driver is bounded by ``DIMENSIONS`` times the
-leaves or areas.
+Method: normalised tf-idf vectors of documents are clustered by bisecting k-means. A leaf is described by its
+discriminative terms: the words and word pairs whose document frequency inside the leaf exceeds that outside by
+``ODDS``. A sentence is spread over the leaves by the log odds of the discriminative terms it holds; a document is
+the mixture of its sentences' leaves. Labels only name leaves: the labelled documents' own leaf mixtures say which
+area each leaf stands for, in a few rounds in which a document of two areas shares each leaf out among them. A
+sentence whose terms speak for no leaf belongs to no area.
+
+Terms are cut once, for whole batches on flat arrays, and kept by sentence; each later pass reads those arrays.
+Document frequencies, clusters and leaf counts run over all documents. What reaches the driver is bounded by
+``DIMENSIONS`` times the leaves and by ``LABELLED`` labelled documents, a sample by hash of the id from which
+leaves are named.
 
 Cases: null, empty and blank texts have no area; broken encodings, markup and control characters are repaired
 before reading; a document without known terms has no area; repeated ids count as documents of their own and their
@@ -19,26 +21,27 @@ from __future__ import annotations
 
 import functools
 import html
-import math
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausemill.llm.textarrays import Hasher, distinct, mix
 from clausemill.storage import stash
 
-DIMENSIONS = 1 << 16
+DIMENSIONS = 1 << 18
 CLUSTER_DIMENSIONS = 1 << 12
-LEAVES = 32
-_WORD = re.compile(r"[a-z]{2,}")
-_END = re.compile(r"(?<=[.!?])\s+|\n+")
+LEAVES = 128
+ITERATIONS = 4
+#: At most about so many labelled documents name the leaves.
+LABELLED = 20_000
+ODDS = 1.5
 _TAG = re.compile(r"<[^>\n]{1,120}>")
 _CONTROL = re.compile("[­​-‏⁠﻿\x00-\x08\x0b-\x1f\x7f]")
 
@@ -52,161 +55,254 @@ def repaired(text: str) -> str:
                 break
             except (UnicodeEncodeError, UnicodeDecodeError):
                 continue
-    text = _TAG.sub(" ", html.unescape(text)).replace("\r", "\n")
-    return unicodedata.normalize("NFKC", _CONTROL.sub("", text))
+    if "<" in text or "&" in text:
+        text = _TAG.sub(" ", html.unescape(text))
+    return unicodedata.normalize("NFKC", _CONTROL.sub("", text.replace("\r", "\n")))
 
 
-@functools.lru_cache(maxsize=200_000)
-def _of_word(word: str) -> int:
-    return _spread(zlib.crc32(word.encode()))
+@functools.lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Of each byte: 1 for a letter, 2 for white space, 3 for a newline, 4 for the end of a sentence."""
+    out = np.zeros(256, dtype=np.uint8)
+    out[97:123], out[[32, 9, 11, 12]], out[10], out[[33, 46, 63]] = 1, 2, 3, 4
+    return out
 
 
-def _spread(x: int) -> int:
-    x = (x ^ (x >> 33)) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF
-    return (x ^ (x >> 29)) * 0xC4CEB9FE1A85EC53 >> 20 & 0xFFFFFFFF
+def cut_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all sentences' words and pairs of neighbouring words, each once a sentence, one after another;
+    where each sentence ends among them; how many sentences each text has; and how many terms each text has.
+
+    A sentence ends at white space after ``.``, ``!`` or ``?`` and at a newline; one without a word of two letters
+    or more doesn't count.
+    """
+    bare = [unicodedata.normalize("NFD", repaired(t).lower()).encode("ascii", "ignore") for t in texts]
+    flat = np.frombuffer(b"\n".join(bare) + b"\n", dtype=np.uint8)
+    kind = _classes()[flat]
+    letter = kind == 1
+    change = np.diff(np.r_[0, letter.astype(np.int8), 0])
+    start, stop = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    wide = stop - start >= 2
+    start, stop = start[wide], stop[wide]
+    ends = np.zeros(len(flat), dtype=bool)
+    ends[1:] = ((kind[1:] == 2) | (kind[1:] == 3)) & (kind[:-1] == 4)
+    ends |= kind == 3
+    sentence = np.cumsum(ends)[start] if len(start) else np.zeros(0, dtype=np.int64)
+    bounds = np.cumsum([len(b) + 1 for b in bare])
+    of = np.searchsorted(bounds, start, side="right")
+    word = Hasher(flat).of(start, stop)
+    joined = (sentence[1:] == sentence[:-1]) & (of[1:] == of[:-1]) if len(start) else np.zeros(0, dtype=bool)
+    pair = mix(word[:-1][joined] * np.uint64(0x9E3779B97F4A7C15) + word[1:][joined]) if len(start) else word
+    _, number = np.unique(of.astype(np.int64) << 40 | sentence, return_inverse=True) if len(start) else (None, np.zeros(0, dtype=np.int64))
+    half = np.uint64(DIMENSIONS // 2)  # words have even buckets, pairs odd ones
+    every = np.concatenate([word % half * np.uint64(2), pair % half * np.uint64(2) + np.uint64(1)])
+    number = np.concatenate([number, number[1:][joined]]) if len(start) else number
+    key = distinct(number.astype(np.int64) * DIMENSIONS + every.astype(np.int64))
+    term, number = (key % DIMENSIONS).astype(np.int32), key // DIMENSIONS
+    last = np.flatnonzero(np.r_[number[1:] != number[:-1], True]) + 1 if len(key) else np.zeros(0, dtype=np.int64)
+    sentence_of = np.zeros(len(last), dtype=np.int64)
+    if len(start):
+        owner = np.zeros(int(number.max()) + 1, dtype=np.int64)
+        _, first = np.unique(of.astype(np.int64) << 40 | sentence, return_index=True)
+        owner[:] = of[first]
+        sentence_of = owner
+    per_text = np.bincount(sentence_of, minlength=len(texts))
+    terms_of = np.bincount(sentence_of[number], minlength=len(texts)) if len(key) else np.zeros(len(texts), dtype=np.int64)
+    return term, last, per_text, terms_of
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+
+def _cut(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, terms, sizes): the buckets of each document by sentence, and how many each sentence has."""
+    from clausemill.llm.arrow import slices
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1_000_000):
+            term, last, per_text, terms_of = cut_terms(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(term, terms_of), _lists(np.diff(np.r_[0, last]), per_text)], names=["id", "terms", "sizes"])
 
-def sentence_terms(text: str) -> list[set[int]]:
-    """For each sentence the buckets of its words and of its pairs of neighbouring words."""
-    out = []
-    bare = unicodedata.normalize("NFD", repaired(text).lower()).encode("ascii", "ignore").decode()
-    for sentence in _END.split(bare):
-        h = [_of_word(w) for w in _WORD.findall(sentence)]
-        if h:
-            out.append({x % DIMENSIONS for x in h} | {_spread(a << 32 | b) % DIMENSIONS for a, b in zip(h, h[1:])})
-    return out
+    picked = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
+    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, terms array<int>, sizes array<int>").where("size(terms) > 0")
 
 
-def _terms(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, terms): the distinct buckets of each document with text."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most 500 documents, so that a table of their terms by leaves stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            yield batch.slice(start, 500)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from clausemill.llm.arrow import ragged
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column one after another, and which row each is of."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), sizes)
+
+
+def _counts(tables: DataFrame, columns: int) -> np.ndarray:
+    """Sums of (place, n) over all tasks as a DIMENSIONS x columns table; each task has summed its own part."""
+    got = tables.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(DIMENSIONS * columns, dtype=np.float32)
+    out[got.column("place").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(DIMENSIONS, columns)
+
+
+def _held(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's terms once: the term and its row."""
+    term, row = _flat(batch.column("terms"))
+    key = distinct(row.astype(np.int64) * DIMENSIONS + term)
+    return key % DIMENSIONS, key // DIMENSIONS
+
+
+def _summed(total: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["place", "n"])
+
+
+class LeafMixtures:
+    """Spreads sentences over leaves by the discriminative terms they hold."""
+
+    def __init__(self, row_of: np.ndarray, odds: np.ndarray, least: float = 1.6):
+        # row_of: place of a term in odds, -1 for a term that speaks for no leaf
+        self.row_of, self.odds, self.least = row_of, odds, least
+
+    def sentences(self, term: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """sentences x leaves shares; a row of zeros for a sentence that speaks for no leaf."""
+        place = self.row_of[term]
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        keep = place >= 0
+        place, of = place[keep], of[keep]
+        score = np.zeros((len(sizes), self.odds.shape[1]), dtype=np.float32)
+        if len(place):
+            lead = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            score[of[lead]] = np.add.reduceat(self.odds[place], lead, axis=0)
+        top = score.max(axis=1, keepdims=True) if score.size else score[:, :1]
+        share = np.exp(score - top) * (top >= self.least)
+        return share / np.maximum(share.sum(axis=1, keepdims=True), 1e-9)
+
+
+def fit_mixtures(cut: DataFrame, leaves: int = LEAVES) -> tuple[LeafMixtures, int]:
+    """The mixtures of the leaves that bisecting k-means finds over all documents, and how many leaves there are."""
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DIMENSIONS, dtype=np.int64)
         for batch in batches:
-            terms = [sorted(set().union(*sentence_terms(t))) if t else [] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), ragged(terms, pa.int32())], names=["id", "terms"])
+            total += np.bincount(_held(batch)[0], minlength=DIMENSIONS)
+        yield _summed(total)
 
-    picked = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, terms array<int>").where("size(terms) > 0")
-
-
-def fit_weights(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, leaves: int = LEAVES) -> tuple[list[str], np.ndarray]:
-    """The areas, and a DIMENSIONS x areas table of how much a term speaks for an area."""
-    terms = stash(_terms(documents, id_col, text_col), "terms")
-    total = terms.count()
-    areas = [r[0] for r in labels.select(label_col).where(F.col(label_col).isNotNull()).distinct().orderBy(label_col).collect()]
-    weights = np.zeros((DIMENSIONS, len(areas)), dtype=np.float32)
-    if not areas or not total:
-        return areas, weights
-    spread = np.zeros(DIMENSIONS)
-    t, n = _columns(terms.select(F.explode("terms").alias("t")).groupBy("t").count())
-    spread[t] = n
-    idf = np.log((1 + total) / (1 + spread)).astype(np.float32)
+    total = cut.count()
+    spread = _counts(cut.select("terms").mapInArrow(frequencies, "place bigint, n bigint"), 1)[:, 0]
     usable = (spread >= 3) & (spread <= 0.2 * total)
 
-    def vector(found: list[int]) -> SparseVector:
-        got: dict[int, float] = {}
-        for t in found:
-            if usable[t]:
-                got[t % CLUSTER_DIMENSIONS] = got.get(t % CLUSTER_DIMENSIONS, 0.0) + float(idf[t])
-        size = math.sqrt(sum(x * x for x in got.values()))
-        at = sorted(got)
-        return SparseVector(CLUSTER_DIMENSIONS, at, [float(got[i] / size) for i in at])
-
-    # a document without usable terms has no direction
-    vectors = terms.select(F.udf(lambda found: vector(found) if usable[found].any() else None, VectorUDT())("terms").alias("features"))
-    vectors = stash(vectors, "vectors").where("features is not null")
-    held_any = vectors.count()
-    clusters = min(leaves, max(2, held_any // 40))
-    if held_any >= 80:
-        model = BisectingKMeans(k=clusters, maxIter=8, seed=1, distanceMeasure="cosine", featuresCol="features", minDivisibleClusterSize=20.0).fit(vectors)
-        centers = np.array([c / (np.linalg.norm(c) or 1.0) for c in model.clusterCenters()], dtype=np.float32)
+    def useful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term, row = _held(batch)
+            keep = usable[term]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(term[keep], np.bincount(row[keep], minlength=batch.num_rows))], names=["id", "terms"])
+
+    kind = cut.schema["id"].dataType.simpleString()
+    known = stash(cut.select("id", "terms").mapInArrow(useful, f"id {kind}, terms array<int>").where("size(terms) > 0"), "useful")
+    held = known.count()
+    clusters = min(leaves, max(2, held // 40))
+    if held >= 80:
+        # words alone give the direction; pairs follow them
+        said = F.transform(F.filter("terms", lambda t: t % 2 == 0), lambda t: t.cast("string"))
+        hashed = HashingTF(inputCol="said", outputCol="tf", numFeatures=CLUSTER_DIMENSIONS, binary=True).transform(known.withColumn("said", said))
+        weighed = IDF(inputCol="tf", outputCol="weighed").fit(hashed).transform(hashed)
+        vectors = stash(Normalizer(inputCol="weighed", outputCol="features").transform(weighed).select("terms", "features"), "vectors")
+        model = BisectingKMeans(k=clusters, maxIter=ITERATIONS, seed=1, distanceMeasure="cosine", featuresCol="features", predictionCol="leaf", minDivisibleClusterSize=20.0).fit(vectors)
+        placed = model.transform(vectors).select("terms", "leaf")
+        n_leaves = len(model.clusterCenters())
     else:
-        centers = np.zeros((1, CLUSTER_DIMENSIONS), dtype=np.float32)
+        placed, n_leaves = known.select("terms", F.lit(0).alias("leaf")), 1
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = []
-            for found in batch.column("terms").to_pylist():
-                at = np.array([t for t in found if usable[t]], dtype=np.int64)
-                leaf.append(int(np.argmax(centers[:, at % CLUSTER_DIMENSIONS] @ idf[at])) if len(at) else 0)
-            yield batch.append_column("leaf", pa.array(leaf, type=pa.int32()))
-
-    placed = terms.mapInArrow(place, f"id {terms.schema['id'].dataType.simpleString()}, terms array<int>, leaf int")
-    placed = stash(placed, "placed")
-    inside = np.zeros((DIMENSIONS, len(centers)), dtype=np.float32)
-    leaf, t, n = _columns(placed.select("leaf", F.explode("terms").alias("t")).groupBy("leaf", "t").count())
-    inside[t, leaf] = n
-    leaf_size = np.ones(len(centers), dtype=np.float32)
-    leaf, n = _columns(placed.groupBy("leaf").count())
-    leaf_size[leaf] = n
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("area")).where("id is not null and area is not null").distinct()
-    labelled = terms.join(known.groupBy("id").agg(F.collect_set("area").alias("areas")), "id")
-    held = np.zeros(DIMENSIONS)
-    says = np.zeros((DIMENSIONS, len(areas)))
-    index = {a: i for i, a in enumerate(areas)}
-    labelled = stash(labelled, "labelled")
-    t, n = _columns(labelled.select(F.explode("terms").alias("t")).groupBy("t").count())
-    held[t] = n
-    t, a, n = _columns(labelled.select(F.explode("terms").alias("t"), "areas").select("t", F.explode("areas").alias("a")).groupBy("t", "a").count())
-    says[t, [index[x] for x in a]] = n
-    base = np.zeros(len(areas))
-    count = labelled.count()
-    for a, n in labelled.select(F.explode("areas").alias("a")).groupBy("a").count().collect():
-        base[index[a]] = n / max(1, count)
-    base = np.maximum(base, 1e-3)
-    # what the labelled documents say of a term, shrunk to the base rate
-    direct = (says + 0.5 * base) / (held[:, None] + 0.5)
-    sure = (held >= 2)[:, None] * np.maximum(0.0, np.log(direct / base)) * (direct > 0.55)
-    # discriminative terms of each leaf: log odds of the document frequency inside against outside
-    outside = spread[:, None] - inside
-    rest = np.maximum(1.0, total - leaf_size)
-    odds = np.log((inside + 0.5) / (leaf_size + 1)) - np.log((outside + 0.5) / (rest + 1))
-    strong = np.where((inside >= 3) & usable[:, None] & (odds > 1.0), odds, 0.0)
-    label = strong.T @ sure  # leaves x areas
-    label = label / np.maximum(1e-9, label.sum(axis=1, keepdims=True))
-    # a term's areas through its leaves
-    through = (np.where(inside >= 1, inside, 0.0) * (odds > 0.7)) @ label / np.maximum(1.0, spread)[:, None]
-    shrink = 2.0
-    mixed = (says + shrink * np.maximum(through, 0.25 * base)) / (held[:, None] + shrink)
-    weights[:] = np.where(usable[:, None] & (mixed > 0.6), np.log(mixed / base) * np.minimum(1.0, (held[:, None] + shrink * (through > 0.6)) / 4.0), 0.0)
-    return areas, weights
-
-
-def _columns(counts: DataFrame) -> list[np.ndarray]:
-    """The columns of a table of bounded size."""
-    got = counts.toArrow()
-    return [got.column(i).to_numpy() for i in range(got.num_columns)]
-
-
-def mixture(text: str | None, weights: np.ndarray, least: float = 1.0) -> tuple[np.ndarray, int]:
-    """How many sentences go to each area, and how many there are."""
-    counts = np.zeros(weights.shape[1], dtype=np.int64)
-    sentences = sentence_terms(text) if text else []
-    for found in sentences:
-        score = weights[list(found)].sum(axis=0)
-        best = int(np.argmax(score)) if len(score) else 0
-        if len(score) and score[best] > least:
-            counts[best] += 1
-    return counts, len(sentences)
-
-
-def subject_shares(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+            term, row = _flat(batch.column("terms"))
+            leaf = batch.column("leaf").to_numpy().astype(np.int64)
+            place, n = np.unique(np.concatenate([term.astype(np.int64) * n_leaves + leaf[row], DIMENSIONS * n_leaves + leaf]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(n)], names=["place", "n"])
+
+    got = placed.mapInArrow(by_leaf, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    inside = np.zeros((DIMENSIONS + 1, n_leaves), dtype=np.float32)
+    inside.ravel()[got.column("place").to_numpy()] = got.column("n").to_numpy()
+    size, inside = inside[-1], inside[:-1]
+    terms = np.flatnonzero(usable)
+    inside = inside[terms]
+    outside = spread[terms][:, None] - inside
+    odds = np.log((inside + 0.1) / (size + 1)) - np.log((outside + 0.1) / np.maximum(1.0, held - size + 1))
+    odds = np.where((inside >= 2) & (odds > ODDS), odds, 0.0).astype(np.float32)
+    speaks = odds.max(axis=1) > 0
+    row_of = np.full(DIMENSIONS, -1, dtype=np.int32)
+    row_of[terms[speaks]] = np.arange(int(speaks.sum()))
+    return LeafMixtures(row_of, odds[speaks]), n_leaves
+
+
+def name_leaves(mixtures: np.ndarray, areas_of: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """leaves x areas: how far each leaf stands for each area, from labelled documents.
+
+    ``mixtures`` is documents x leaves, ``areas_of`` documents x areas (1 for an area of the document). A leaf
+    starts with the areas of the documents that hold it; then each document shares each of its leaves out among its
+    own areas in proportion to what the leaf stands for, so two areas that come together are told apart by the
+    documents that have one. A leaf no labelled document holds stands for nothing.
+    """
+    own = areas_of / np.maximum(1, areas_of.sum(axis=1, keepdims=True))
+    base = np.maximum(own.sum(axis=0), 1e-9)
+    names = (mixtures.T @ own) / base
+    for _ in range(rounds):
+        names /= np.maximum(names.sum(axis=1, keepdims=True), 1e-9)
+        now = np.zeros_like(names)
+        for area in range(areas_of.shape[1]):
+            has = areas_of[:, area] > 0
+            # share of this area among the document's areas, leaf by leaf
+            rest = areas_of[has] @ names.T
+            part = np.divide(names[:, area], rest, out=np.zeros_like(rest), where=rest > 0)
+            now[:, area] = (mixtures[has] * part).sum(axis=0)
+        names = now / base
+    return names / np.maximum(names.sum(axis=1, keepdims=True), 1e-9)
+
+
+def subject_shares(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, leaves: int = LEAVES) -> DataFrame:
     """(id, area, sentences, of_sentences) for every area that any sentence of the document is about."""
-    areas, weights = fit_weights(documents, labels, id_col, text_col, label_col)
+    cut = stash(_cut(documents, id_col, text_col), "cut")
+    kind = cut.schema["id"].dataType.simpleString()
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("area")).where("id is not null and area is not null").distinct()
+    empty = cut.select("id").limit(0).select("id", F.lit("").alias("area"), F.lit(0).cast("long").alias("sentences"), F.lit(0).cast("long").alias("of_sentences")).withColumnsRenamed({"id": id_col, "area": label_col})
+    areas = [r[0] for r in known.select("area").distinct().orderBy("area").collect()]
+    n_labelled = known.select("id").distinct().count()
+    if not areas or cut.isEmpty():
+        return empty
+    mixtures, n_leaves = fit_mixtures(cut, leaves)
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            term, _ = _flat(batch.column("terms"))
+            sizes, row = _flat(batch.column("sizes"))
+            share = mixtures.sentences(term, sizes)
+            total = np.zeros((batch.num_rows, share.shape[1]), dtype=np.float32)
+            np.add.at(total, row, share)
+            yield pa.RecordBatch.from_arrays([batch.column("areas"), pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), share.shape[1]).cast(pa.list_(pa.float32()))], names=["areas", "mixture"])
+
+    step = max(1, -(-n_labelled // LABELLED))
+    grouped = known.groupBy("id").agg(F.collect_set("area").alias("areas")).where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0)
+    labelled = cut.join(grouped, "id").select("areas", "terms", "sizes").mapInArrow(mixed, "areas array<string>, mixture array<float>").toArrow()
+    if not labelled.num_rows:
+        return empty
+    of = np.array([[a in own for a in areas] for own in labelled.column("areas").to_pylist()], dtype=np.float32)
+    names = name_leaves(np.stack(labelled.column("mixture").to_numpy()), of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, got = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                counts, n = mixture(text, weights)
-                for a in np.flatnonzero(counts).tolist():
-                    rows.append(i)
-                    got.append((areas[a], int(counts[a]), n))
-            take = pa.array(rows, type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), *[pa.array([g[k] for g in got], type=t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]], names=["id", "area", "sentences", "of_sentences"])
-
-    picked = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
-    kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, area string, sentences bigint, of_sentences bigint").withColumnsRenamed({"id": id_col, "area": label_col})
+        for batch in _parts(batches):
+            term, _ = _flat(batch.column("terms"))
+            sizes, row = _flat(batch.column("sizes"))
+            about = mixtures.sentences(term, sizes) @ names
+            best = about.argmax(axis=1)
+            sure = about[np.arange(len(best)), best] > 0.5
+            n = len(areas)
+            counts = np.bincount(row[sure] * n + best[sure], minlength=batch.num_rows * n)
+            of_sentences = np.bincount(row, minlength=batch.num_rows)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at // n)), pa.array([areas[a] for a in (at % n).tolist()], type=pa.string()), pa.array(counts[at].astype(np.int64)), pa.array(of_sentences[at // n].astype(np.int64))], names=["id", "area", "sentences", "of_sentences"])
+
+    return cut.mapInArrow(run, f"id {kind}, area string, sentences bigint, of_sentences bigint").withColumnsRenamed({"id": id_col, "area": label_col})

@@ -73,6 +73,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, in order."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 class Hasher:
     """Hash of any stretch [start, end) of a flat array, equal for equal content wherever it stands."""
 

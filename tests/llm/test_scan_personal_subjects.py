@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow.parquet as pq
 
 from clausemill.llm import personal, scan_repair, subjects
@@ -114,7 +115,8 @@ def test_subjects(spark):
         w = said.split()
         for i in range(120):
             n += 1
-            rows.append((n, f"O {w[i % 30]} depende do {w[(i + 7) % 30]}. Sem o {w[(i + 11) % 30]} falta o {w[(i + 18) % 30]}. O arquivo foi recebido e numerado hoje.", 1))
+            said = " ".join(f"O {w[(i * 7 + k) % 30]} depende do {w[(i + 11 * k) % 30]}." for k in range(5))
+                rows.append((n, f"{said} O arquivo foi recebido e numerado hoje.", 1))
             if i % 4 == 0:
                 labels.append((n, area))
     rows += [(9001, None, 1), (9002, "", 1), (9003, "  \n", 1), (9004, "O arquivo foi recebido e numerado hoje.", 1), (9005, "O naviba e o navica. O tratba e o tratca.", 1), (9005, "O naviba e o navica.", 1)]
@@ -130,6 +132,37 @@ def test_subjects(spark):
     assert subjects.repaired("aÃ§Ã£o <b>x</b> &amp; y") == "ação  x  & y"
 
 
+def test_areas_come_from_the_leaves(spark, monkeypatch):
+    """With every leaf named after another one, the areas are wrong: nothing but the leaves decides."""
+    words = {area: [f"{stem}{a}{b}" for a in "bcdfgl" for b in "aeiou"] for area, stem in (("mar", "navi"), ("terra", "trat"), ("ar", "avio"))}
+    rows = [(100 * k + i, " ".join(f"O {w[(i * 7 + j) % 30]} depende do {w[(i + 11 * j) % 30]}." for j in range(5))) for k, w in enumerate(words.values()) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    labels = spark.createDataFrame([(k, list(words)[k // 100]) for k, _ in rows if k % 5 == 0], "k long, area string")
+
+    def right() -> int:
+        got = subjects.subject_shares(df, labels, "k", "text", "area").where("sentences * 5 >= of_sentences").collect()
+        return sum(r["area"] == list(words)[r["k"] // 100] for r in got)
+
+    assert right() >= 285
+    named = subjects.name_leaves
+    monkeypatch.setattr(subjects, "name_leaves", lambda *a: np.roll(named(*a), 1, axis=1))
+    assert right() < 30
+
+
+def test_leaves_shared_by_two_areas_are_told_apart():
+    mixtures = np.array([[1, 0, 0], [0, 1, 0], [0.5, 0.5, 0], [0.4, 0.6, 0]])
+    areas = np.array([[1, 0], [0, 1], [1, 1], [1, 1]])
+    names = subjects.name_leaves(mixtures, areas)
+    assert names[0, 0] > 0.95 and names[1, 1] > 0.95 and names[2].sum() == 0
+
+
+def test_terms_are_cut_by_sentence():
+    term, last, per_text, terms_of = subjects.cut_terms(["", "Um dois. Dois três!\n\nx 1 2\nUm dois", "9", "quatro"])
+    assert per_text.tolist() == [0, 3, 0, 1] and terms_of.tolist() == [0, 9, 0, 1] and last.tolist() == [3, 6, 9, 10]
+    assert term[0:3].tolist() == term[6:9].tolist() and len(set(term.tolist())) == 6
+    assert subjects.cut_terms([""])[0].tolist() == [] and subjects.cut_terms(["9", ""])[2].tolist() == [0, 0]
+
+
 def test_clusters_are_fitted_on_every_document(spark, monkeypatch):
     seen = []
 
@@ -141,5 +174,5 @@ def test_clusters_are_fitted_on_every_document(spark, monkeypatch):
     monkeypatch.setattr(subjects, "BisectingKMeans", Watched)
     spoken = "concat_ws(' ', 'navio', concat('mar', substr('abcdefghij', 1 + id % 10, 1)), concat('rio', substr('klmnopqrst', 1 + id div 10 % 10, 1)))"
     df = spark.range(16_000).selectExpr("id as k", f"if(id < 15990, {spoken}, '12 34') as text")
-    areas, weights = subjects.fit_weights(df, spark.createDataFrame([(1, "mar")], "k long, area string"), "k", "text", "area", leaves=2)
-    assert seen == [15_990] and areas == ["mar"]
+    _, leaves = subjects.fit_mixtures(subjects._cut(df, "k", "text"), 2)
+    assert seen == [15_990] and leaves == 2
