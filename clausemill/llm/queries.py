@@ -29,20 +29,21 @@ def _excess(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least eight clauses of an insurer, whether or not the ratio calls them excess."""
     return _excess(spark, sf_dir)[1].where("n_within >= 8").select("clause_id", "line_no").distinct()
 
 
 def p1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the repeated lines of each insurer occur."""
+    """How often the repeated lines of each insurer occur, by what the test says of them."""
     found = _excess(spark, sf_dir)[1]
-    return found.groupBy("cnpj", "scope").agg(F.count("*").alias("occurrences"), F.countDistinct("clause_id").alias("clauses"), F.max("n_within").alias("most_within"))
+    return found.groupBy("cnpj", "scope", "excess").agg(F.count("*").alias("occurrences"), F.countDistinct("clause_id").alias("clauses"), F.max("n_within").alias("most_within"))
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausemill.llm.repeated_lines import without_excess
 
     own, found = _excess(spark, sf_dir)
-    return without_excess(own, "clause_id", "cnpj", "text", found).distinct()
+    return without_excess(own, "clause_id", "text", found.where("excess"))
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

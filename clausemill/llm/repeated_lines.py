@@ -1,17 +1,18 @@
 """Problem 1: lines repeated across the documents of one source.
 
 Method: the frequency of each line within a source is compared with its frequency outside by the log-likelihood
-ratio; a line spread alike over all sources is compared with a line written once. Only lines of the least support
-are tested (the filter does not depend on the ratio), and the false-discovery rate over them is controlled by the
-step-up rule of Benjamini and Hochberg, on a histogram of p-values whose size does not depend on the data. Lines
-that pass are anti-joined from each document, which is put together again by position.
+ratio. A line that all sources repeat alike shows no such excess; its count within the source is compared, by the
+ratio of two Poisson rates, with the corpus rate, the mean number of documents that hold a line. The stronger ratio
+counts, at twice its p-value. The false-discovery rate over all candidates, every line of every source, is
+controlled by the step-up rule of Benjamini and Hochberg, on a histogram of the ratio whose size does not depend on
+the data. Lines that pass are anti-joined from each document, which is put together again by position.
 
 Line keys are 96-bit hashes of the normalised line, computed for whole batches on flat arrays. Counting goes
 through a distinct aggregation (line, source, document), so a line of a third of all documents is summed up in
 parts. The keys of candidate lines are broadcast only below ``BROADCAST_ROWS``; above, the join shuffles.
 
 Cases: null and empty texts have no lines that count; rows with a null source or document id are not counted and
-keep their text; repeated rows count once; extra columns are kept out; an empty table gives an empty table.
+keep their text; repeated rows count once and give one row; extra columns are kept out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from clausemill.storage import stash
 
 BROADCAST_ROWS = 500_000
 BATCH_CHARS = 1_000_000
+#: The ratio is binned in steps of STEP up to BINS of them.
+STEP, BINS = 0.05, 8_000
 
 
 def line_keys(texts: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,24 +97,25 @@ def log_p(llr: float) -> float:
 
 
 def excess_lines(documents: DataFrame, id_col: str, source_col: str, text_col: str, min_docs: int = 8, min_chars: int = 15, fdr: float = 0.05) -> DataFrame:
-    """(id, source, line_no, n_within, n_outside, llr, scope): lines in excess within their source.
+    """(id, source, line_no, n_within, n_outside, llr, scope, excess): lines of at least ``min_docs`` documents.
 
-    scope is ``source`` for a line more frequent within than outside, ``shared`` for one that all sources repeat.
+    ``excess`` says whether the line passes the test; ``scope`` is ``source`` where the comparison with other
+    sources alone passes it, ``shared`` where only the comparison with the corpus rate does, ``none`` where
+    neither does.
     """
-    spark = documents.sparkSession
     lines = keyed_lines(documents, id_col, source_col, text_col, min_chars)
     hashed = lines.select(F.xxhash64("source").alias("s"), "h1", "h2", F.xxhash64("id").alias("d"))
-    often = stash(hashed.groupBy("s", "h1", "h2").agg(F.countDistinct("d").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2").distinct(), "lines")
-    narrow = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
-    hits = stash(lines.join(narrow, ["h1", "h2"], "left_semi"), "hits")
-    sizes = documents.where(F.col(id_col).isNotNull() & F.col(source_col).isNotNull()).groupBy(F.col(source_col).cast("string").alias("source")).agg(F.countDistinct(F.xxhash64(F.col(id_col).cast("string"))).alias("docs"))
+    per = stash(hashed.groupBy("s", "h1", "h2").agg(F.countDistinct("d").alias("n")), "lines")
+    overall = per.groupBy("h1", "h2").agg(F.sum("n").alias("n_all"), F.max("n").alias("top"))
+    pairs, standing = per.agg(F.count("*"), F.sum("n")).first()
+    distinct_lines = overall.count()
+    sizes = documents.where(F.col(id_col).isNotNull() & F.col(source_col).isNotNull()).groupBy(F.xxhash64(F.col(source_col).cast("string")).alias("s")).agg(F.countDistinct(F.xxhash64(F.col(id_col).cast("string"))).alias("docs"))
     sizes = stash(sizes, "sizes")
     all_docs = sizes.agg(F.sum("docs")).first()[0] or 0
-    within = hits.groupBy("source", "h1", "h2").agg(F.countDistinct("id").alias("n_within"))
-    overall = within.groupBy("h1", "h2").agg(F.sum("n_within").alias("n_all"))
-    tested = within.where(F.col("n_within") >= min_docs).join(overall, ["h1", "h2"]).join(sizes, "source")
-    tested = tested.withColumn("n_outside", F.col("n_all") - F.col("n_within")).withColumn("outside", F.lit(all_docs) - F.col("docs"))
-    k1, k2, n1, n2 = (F.col(c).cast("double") for c in ("n_within", "n_outside", "docs", "outside"))
+    # a line written once repeats nothing: it counts among the candidates, with a p-value of 1
+    tested = per.where("n >= 2").join(overall.where("top >= 2").select("h1", "h2", "n_all"), ["h1", "h2"]).join(sizes, "s")
+    k1, k2 = F.col("n").cast("double"), (F.col("n_all") - F.col("n")).cast("double")
+    n1, n2 = F.col("docs").cast("double"), F.lit(float(all_docs)) - F.col("docs")
     p = (k1 + k2) / (n1 + n2)
 
     def part(k, n, q):
@@ -119,44 +123,49 @@ def excess_lines(documents: DataFrame, id_col: str, source_col: str, text_col: s
         return F.when(k > 0, k * F.log(q)).otherwise(0.0) + F.when(n > k, (n - k) * F.log1p(-q)).otherwise(0.0)
 
     against = 2 * (part(k1, n1, k1 / n1) + F.when(n2 > 0, part(k2, n2, k2 / n2)).otherwise(0.0) - part(k1, n1, p) - F.when(n2 > 0, part(k2, n2, p)).otherwise(0.0))
-    once = 2 * (k1 * F.log(k1) - (k1 - 1))
     more = (n2 > 0) & (k1 * n2 > k2 * n1)
-    both = tested.select("source", "h1", "h2", "n_within", "n_outside", F.when(more, against).alias("excess"), once.alias("recurs"))
-    # the stronger of the two ratios; doubled p-value for having two looks
-    scored = both.withColumn("llr", F.greatest(F.coalesce("excess", F.lit(0.0)), "recurs"))
-    scored = scored.withColumn("scope", F.when(F.col("excess") >= F.lit(3.84), "source").otherwise("shared"))
-
-    def p_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            logs = [-(log_p(x) + math.log(2)) for x in batch.column("llr").to_pylist()]
-            yield batch.append_column("strength", pa.array([max(0.0, x) for x in logs], type=pa.float64()))
-
-    scored = stash(scored.mapInArrow(p_values, "source string, h1 bigint, h2 int, n_within bigint, n_outside bigint, excess double, recurs double, llr double, scope string, strength double"), "tested")
-    # at most 2,001 bins: strength is -ln p in steps of 0.05, all beyond 100 in one
-    bins = scored.groupBy(F.least(F.floor(F.col("strength") / 0.05), F.lit(2000)).cast("int").alias("bin")).count().collect()
-    limit = step_up({b: n for b, n in bins}, fdr)
-    kept = scored.where(F.least(F.floor(F.col("strength") / 0.05), F.lit(2000)) >= limit).select("source", "h1", "h2", "n_within", "n_outside", "llr", "scope")
-    kept = F.broadcast(kept) if sum(n for _, n in bins) <= BROADCAST_ROWS else kept
-    return hits.join(kept, ["source", "h1", "h2"]).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "line_no", "n_within", "n_outside", "llr", "scope").distinct()
-
-
-def step_up(bins: dict[int, int], fdr: float) -> int:
-    """The weakest bin whose largest p-value still meets the step-up rule; 2,001 if none does."""
-    total, passed, best = sum(bins.values()), 0, 2001
+    rate = F.lit((standing or 0) / max(1, distinct_lines))
+    usual = F.when(k1 > rate, 2 * (k1 * F.log(k1 / rate) - (k1 - rate))).otherwise(0.0)
+    both = tested.select("s", "h1", "h2", F.col("n").alias("n_within"), (F.col("n_all") - F.col("n")).alias("n_outside"), F.when(more, F.greatest(against, F.lit(0.0))).otherwise(0.0).alias("own"), usual.alias("usual"))
+    scored = stash(both.withColumn("llr", F.greatest("own", "usual")), "tested")
+    cell = lambda c: F.least(F.floor(F.col(c) / STEP), F.lit(BINS)).cast("int")
+    bins = {b: n for b, n in scored.groupBy(cell("llr").alias("bin")).count().collect()}
+    limit = step_up(bins, fdr, pairs)
+    scope = F.when(cell("own") >= limit, "source").when(cell("llr") >= limit, "shared").otherwise("none")
+    kept = scored.where(F.col("n_within") >= min_docs).select("s", "h1", "h2", "n_within", "n_outside", "llr", scope.alias("scope"), (cell("llr") >= limit).alias("excess"))
+    kept = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    found = lines.withColumn("s", F.xxhash64("source")).join(kept, ["s", "h1", "h2"])
+    return found.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "line_no", "n_within", "n_outside", "llr", "scope", "excess").distinct()
+
+
+def step_up(bins: dict[int, int], fdr: float, candidates: int) -> int:
+    """The weakest bin of the ratio whose largest p-value still meets the step-up rule over all candidates.
+
+    p-values are doubled for having two looks; ``BINS + 1`` if no bin meets the rule.
+    """
+    passed, best = 0, BINS + 1
     for b in sorted(bins, reverse=True):
         passed += bins[b]
-        if math.exp(-b * 0.05) <= fdr * passed / total:
+        if log_p(b * STEP) + math.log(2) <= math.log(fdr * passed / max(1, candidates)):
             best = b
     return best
 
 
-def without_excess(documents: DataFrame, id_col: str, source_col: str, text_col: str, found: DataFrame) -> DataFrame:
-    """(id, text, removed INT): every row's text without its excess lines, repeated rows kept as they are.
+def without_excess(documents: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
+    """(id, text, removed INT): each text without its excess lines; repeated rows give one row.
 
-    Lines kept stay in order; a text all of whose lines go becomes empty; a null text stays null.
+    Lines kept stay in order; a text all of whose lines go becomes empty; a null text and a text under a null id
+    stay as they are. The lines of texts that have any are anti-joined with the found ones and put together again
+    by position; other texts are not taken apart.
     """
-    drop = found.groupBy(F.col(id_col).alias("id")).agg(F.collect_set("line_no").alias("gone"))
-    base = documents.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).join(drop, "id", "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i.cast("bigint")))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return base.select(F.col("id").alias(id_col), kept.alias(text_col), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
+    gone = found.select(F.col(id_col).alias("id"), "line_no").distinct()
+    base = documents.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).distinct()
+    base = base.join(gone.groupBy("id").agg(F.count("*").alias("n")), "id", "left")
+    whole = base.where("n is null or text is null").select("id", "text", F.lit(0).alias("removed"))
+    lines = base.where("n is not null and text is not null").select("id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    every = lines.withColumn("line_no", F.col("line_no").cast("bigint"))
+    stay = every.join(gone, ["id", "line_no"], "left_anti").groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    mended = every.groupBy("id", "key").agg(F.count("*").alias("n")).join(stay, ["id", "key"], "left")
+    text = F.coalesce(F.array_join("l.line", "\n"), F.lit(""))
+    parted = mended.select("id", text.alias("text"), (F.col("n") - F.coalesce(F.size("l"), F.lit(0))).cast("int").alias("removed"))
+    return whole.unionByName(parted).select(F.col("id").alias(id_col), F.col("text").alias(text_col), "removed")

@@ -37,15 +37,38 @@ def test_found_and_removed(spark):
     found = excess_lines(df, "id", "source", "text", min_docs=8)
     got = {(r["id"], r["line_no"]) for r in found.collect()}
     assert got == {(f"a{i}", 1) for i in range(10)} | {(f"b{i}", 1) for i in range(9)}
-    clean = {r["id"]: r["text"] for r in without_excess(df, "id", "source", "text", found).collect()}
+    assert {r["excess"] for r in found.collect()} == {True} and {r["scope"] for r in found.collect()} == {"source"}
+    out = without_excess(df, "id", "text", found).collect()
+    clean = {r["id"]: r["text"] for r in out}
+    assert len(out) == len(rows) - 1 and clean[None] == notice and clean["n"] == notice
     assert clean["a0"] == "texto único número " + "a" * 20 + "\nfim" and clean["e"] == "" and clean["z"] is None
     assert excess_lines(df.where("false"), "id", "source", "text").count() == 0
 
 
+def test_lines_at_the_usual_rate_are_rejected(spark):
+    """Where every line stands in 8 documents of each of three sources, none is in excess; a notice that one source
+    alone adds to 12 of its documents is, and so is one that all sources repeat far beyond the others."""
+    say = lambda n: "a linha comum que se chama " + chr(97 + n % 26) * 9 + chr(97 + n // 26) * 9
+    rows = []
+    for source in range(3):
+        for doc in range(64):
+            lines = [say((doc + step) % 64) for step in (0, 1, 3, 7, 12, 20, 30, 44)]
+            lines += ["aviso que somente uma casa escreve"] if source == 0 and doc < 12 else []
+            lines += ["aviso que todas as casas escrevem"]
+            rows.append((f"{source}-{doc}", f"s{source}", "\n".join(lines)))
+    df = spark.createDataFrame(rows, "id string, source string, text string")
+    found = excess_lines(df, "id", "source", "text", min_docs=8).collect()
+    text = {r[0]: r[2].split("\n") for r in rows}
+    said = {(text[r["id"]][r["line_no"]], r["scope"], r["excess"]) for r in found}
+    assert {x for x in said if x[2]} == {("aviso que somente uma casa escreve", "source", True), ("aviso que todas as casas escrevem", "shared", True)}
+    assert {x[0] for x in said if not x[2]} == {say(n) for n in range(64)}
+
+
 def test_step_up_is_the_textbook_rule():
-    assert step_up({}, 0.05) == 2001
-    assert step_up({100: 1, 0: 1}, 0.05) == 100
-    assert step_up({0: 5}, 0.05) == 2001
+    assert step_up({}, 0.05, 0) == 8001
+    assert step_up({400: 1, 0: 1}, 0.05, 2) == 400
+    assert step_up({0: 5}, 0.05, 5) == 8001
+    assert step_up({400: 1}, 0.05, 10_000) == 8001  # a ratio of 20 is no surprise among ten thousand candidates
 
 
 @settings(max_examples=200, deadline=None)
