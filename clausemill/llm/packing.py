@@ -5,7 +5,7 @@ looked up among the available single sizes, then pair sums, then triple sums; a
 exactly is used as often as the counts of its members allow. What remains is placed best-fit, largest first, by
 size and multiplicity. The plan depends on the histogram alone, which has at most ``capacity`` rows whatever the
 number of items, so it is made on the driver; items then find their container by their rank within their size,
-which is computed from per-bucket counts, so no size is ranked in one task.
+which is computed from per-bucket counts: a size of many items is split into as many buckets as its count asks for.
 
 Cases: an item larger than the capacity is divided into full containers and a rest, which is packed like any
 item; an item of size 0 (null or empty text) takes no room and is put in container 0; null ids are kept; repeated
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from clausemill.storage import stash
 
+#: About so many items of one size are ranked in one window.
+BUCKET_ROWS = 250_000
 Pattern = tuple[int, ...]
 
 
@@ -134,22 +136,27 @@ def slots(patterns: list[tuple[Pattern, int]], first: int = 1) -> dict[int, tupl
     return {s: (np.array(ranks[s], dtype=np.int64), np.array(to[s], dtype=np.int64)) for s in ranks}
 
 
-def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, buckets: int = 64) -> DataFrame:
+def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, piece_no INT, start BIGINT, size INT, container_id BIGINT): the container of each item or piece.
 
     ``start`` is where the piece begins inside its item. Containers are numbered from 0.
     """
     base = items.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("total"))
     pieces = base.select("id", F.posexplode(F.expr(f"case when total <= {capacity} then array(total) else transform(sequence(0L, (total - 1) div {capacity}), k -> least({capacity}L, total - k * {capacity})) end")).alias("piece_no", "size"))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece_no"), F.lit(buckets)).cast("int"))
-    pieces = stash(pieces.select("id", "piece_no", F.col("size").cast("int").alias("size"), "bucket"), "items")
-    # at most capacity x buckets rows
+    pieces = stash(pieces.select("id", "piece_no", F.col("size").cast("int").alias("size")), "items")
+    # at most capacity rows
+    histogram = {size: n for size, n in pieces.where("size > 0").groupBy("size").count().collect()}
+    splits = pieces.sparkSession.createDataFrame([(s, -(-n // bucket_rows)) for s, n in histogram.items() if n > bucket_rows], "size int, splits long")
+    pieces = pieces.join(F.broadcast(splits), "size", "left")  # at most capacity rows
+    bucket = F.pmod(F.xxhash64("id", "piece_no"), F.coalesce("splits", F.lit(1))).cast("int")
+    pieces = pieces.select("id", "piece_no", "size", bucket.alias("bucket"))
+    # a row for each bucket_rows items of a size, at most capacity more
     counted = pieces.where("size > 0").groupBy("size", "bucket").count().collect()
-    histogram: dict[int, int] = defaultdict(int)
+    taken: dict[int, int] = defaultdict(int)
     by_bucket: dict[tuple[int, int], int] = {}
-    for size, bucket, n in sorted(map(tuple, counted)):
-        by_bucket[size, bucket] = histogram[size]  # ranks that earlier buckets of this size take
-        histogram[size] += n
+    for size, bucket_no, n in sorted(map(tuple, counted)):
+        by_bucket[size, bucket_no] = taken[size]  # ranks that earlier buckets of this size take
+        taken[size] += n
     where = slots(plan_patterns(histogram, capacity), first=0)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.sources.tables import table
+from clausemill.storage import stash
 
 CAPACITY = 2048
+_BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 
 def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "parsed_clause")
@@ -88,6 +91,13 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each cut clause its pieces hold without their overlaps, and how many break the limits."""
+    solid = F.char_length(F.regexp_replace(F.expr("substring(piece, own_start - start_pos + 1)"), _BLANK, ""))
+    broken = (F.char_length("piece") > 3000) | (F.col("own_start") - F.col("start_pos") > 300)
+    return _pieces(spark, sf_dir).groupBy("clause_id").agg(F.sum(solid).alias("solid_chars"), F.count_if(broken).alias("broken"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = F.when(F.bool_and(F.col("rule") == "item"), "item").otherwise("window")
     return _pieces(spark, sf_dir).groupBy("clause_id").agg(rule.alias("cut_rule"))
@@ -159,6 +169,16 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("pieces").alias("pieces"), F.max("used").alias("fullest"), (F.sum("used") / (F.count("*") * CAPACITY)).alias("share_used"))
 
 
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What containers of 8,192 characters hold: every character once, none over its capacity."""
+    from clausemill.llm.packing import pack
+
+    own = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("chars"))
+    packed = stash(pack(own, "doc_id", "chars", 8192), "packed")
+    over = packed.groupBy("container_id").agg(F.sum("size").alias("used")).agg(F.count_if(F.col("used") > 8192).alias("overfull"))
+    return packed.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("doc_id", "piece_no").alias("pieces"), F.sum("size").cast("long").alias("chars")).crossJoin(over)  # one row each
+
+
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausemill.llm.subjects import subject_shares
 
@@ -176,7 +196,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_groups, p3_found, p3_shares, p4_found, p4_pieces, p4_counts, p5_found, p5_text, p6_found, p6_redacted, p7_ids, p8_containers, p8_fill, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_groups, p3_found, p3_shares, p4_found, p4_pieces, p4_cover, p4_counts, p5_found, p5_text, p6_found, p6_redacted, p7_ids, p8_containers, p8_fill, p8_totals, p9_found, p9_composition)}
 
 
 _SPACE = r"[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]"
@@ -194,6 +214,10 @@ s AS (SELECT clause_id, piece, bool_or(item) AS item, sum(length(line) + 1) - 1
 SELECT clause_id, CASE WHEN bool_or(item) AND max(size) <= 3000 THEN 'item' ELSE 'window' END AS cut_rule FROM s GROUP BY 1"""
 
 
+_P4_COVER = r"SELECT DISTINCT clause_id, length(regexp_replace(text, '[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g')) AS solid_chars, 0::BIGINT AS broken FROM parsed_clause WHERE length(text) > 3000"
+_P8 = "SELECT count(*) AS documents, sum(greatest(1, (coalesce(length(text), 0) + 8191) // 8192))::BIGINT AS pieces, sum(length(text))::BIGINT AS chars, 0::BIGINT AS overfull FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where SQL can say it over whole tables; the other queries are tested in tests/llm."""
-    return {"p1_found": _P1, "p4_found": _P4}
+    return {"p1_found": _P1, "p4_found": _P4, "p4_cover": _P4_COVER, "p8_totals": _P8}

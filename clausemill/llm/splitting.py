@@ -1,9 +1,12 @@
 """Problem 4: cutting oversized texts at natural boundaries.
 
-Method: structure-tree packing. A text is a tree: items at its item lines, then blocks between blank lines, lines,
-sentences, words, and single characters where nothing else helps. Sibling subtrees are merged from the left as
-long as they fit; only a node over the limit is opened. A piece that starts where no item starts begins with up
-to ``overlap`` characters of the piece before, taken from a line, sentence or word start where there is one.
+Method: structure-tree packing. A text is parsed into a tree: its list items by their marks, a mark of another form
+(letters, bullets) nesting under the item before it; inside an item, headings by their depth (marked, numbered 1,
+1.1, 1.1.1, or in capitals), then blocks between blank lines, lines, sentences, words, and single characters where
+nothing else helps. From the leaves upward, neighbouring sibling subtrees are merged as long as they fit, so a
+subtree that fits is never parted; only a node over the limit is opened. A piece that starts where no item starts
+begins with up to ``overlap`` characters of the piece before, taken from a line, sentence or word start where there
+is one.
 
 Cases: texts within the limit, empty and null texts give no piece; of repeated ids one row is cut; extra columns
 are ignored; an empty table gives an empty table.
@@ -19,8 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ITEM = re.compile(r"^(?:[A-Za-z]{1,2}\)|[•\-–])[^\S\n]+\S", re.MULTILINE)
-#: Where a node may be opened, from coarse to fine: after a blank line, a line, a sentence, a word.
-_LEVELS = (re.compile(r"\n[^\S\n]*\n+"), re.compile(r"\n"), re.compile(r"(?<=[.!?;:])[^\S\n]+"), re.compile(r"\s+"))
+#: Forms of item marks; items of one form are siblings.
+_FORMS = (re.compile(r"[A-Za-z]{1,2}\)"), re.compile(r"•"), re.compile(r"[\-–]"))
+#: Headings from coarse to fine; a node is opened before each line that is one.
+_HEADINGS = tuple(re.compile(p) for p in (r"\n(?=#[^\S\n])", r"\n(?=##[^\S\n])", r"\n(?=#{3,6}[^\S\n])", r"\n(?=[A-ZÀ-Ý][A-ZÀ-Ý\d ,.\-–]{3,80}\n)", r"\n(?=\d+[.)]?[^\S\n]+[^\W\d])", r"\n(?=\d+\.\d+[.)]?[^\S\n]+\S)", r"\n(?=\d+\.\d+\.\d+[.\d]*\)?[^\S\n]+\S)"))
+#: Where a node may be opened below its headings: after a blank line, a line, a sentence, a word.
+_LEVELS = (*_HEADINGS, re.compile(r"\n[^\S\n]*\n+"), re.compile(r"\n"), re.compile(r"(?<=[.!?;:])[^\S\n]+"), re.compile(r"\s+"))
 
 
 def _open(text: str, start: int, end: int, room: int, level: int) -> list[tuple[int, int]]:
@@ -56,42 +63,91 @@ def _overlap_start(text: str, floor: int, end: int, overlap: int) -> int:
     low = max(floor, end - overlap)
     if low == floor:
         return low
-    for level in _LEVELS[1:]:
+    for level in _LEVELS[len(_HEADINGS) + 1 :]:
         for gap in level.finditer(text, low - 1, end):
             if low <= gap.end() < end:
                 return gap.end()
     return low
 
 
+class Node:
+    """An item with the items nested under it; ``start`` to ``own_end`` is its own text."""
+
+    __slots__ = ("start", "own_end", "depth", "children")
+
+    def __init__(self, start: int, own_end: int, depth: int):
+        self.start, self.own_end, self.depth, self.children = start, own_end, depth, []
+
+    @property
+    def end(self) -> int:
+        node = self
+        while node.children:
+            node = node.children[-1]
+        return node.own_end
+
+
+def item_tree(text: str) -> Node:
+    """The root, whose own text is what stands before the first item."""
+    marks = [m.start() for m in ITEM.finditer(text)]
+    edges = [*marks, len(text)]
+    root = Node(0, edges[0] - 1 if marks and edges[0] > 0 else edges[0], 0)
+    path, depth_of = [root], {}
+    for start, stop in zip(edges, edges[1:]):
+        form = next(i for i, f in enumerate(_FORMS) if f.match(text, start))
+        depth = depth_of.setdefault(form, path[-1].depth + 1)
+        while path[-1].depth >= depth:
+            path.pop()
+        node = Node(start, stop - 1 if stop < len(text) else stop, depth)
+        path[-1].children.append(node)
+        path.append(node)
+    return root
+
+
+def _packed(text: str, root: Node, limit: int, room: int) -> list[tuple[int, int, bool]]:
+    """Stretches (start, end, whether it is made of whole items) of at most ``limit``, in order of the text.
+
+    Nodes are packed from the leaves upward without recursion, as items may nest as deep as the text is long.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(node.children)
+    done: dict[int, list[tuple[int, int, bool]]] = {}
+    for node in reversed(order):
+        if node.end - node.start <= limit and node is not root:
+            done[id(node)] = [(node.start, node.end, True)]
+            continue
+        own = [(node.start, node.own_end, True)] if node.own_end - node.start <= limit else [(a, b, False) for a, b in _open(text, node.start, node.own_end, room, 0)]
+        out = own if node.own_end > node.start or not node.children else []
+        for child in node.children:
+            for start, end, whole in done.pop(id(child)):
+                if whole and out and out[-1][2] and end - out[-1][0] <= limit:
+                    out[-1] = (out[-1][0], end, True)
+                else:
+                    out.append((start, end, whole))
+        done[id(node)] = out
+    return done[id(root)]
+
+
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
     """Pieces as (start, own_start, end, rule): text[start:own_start] repeats the piece before, rule is
     ``item`` for whole items and ``window`` otherwise."""
-    marks = [m.start() for m in ITEM.finditer(text)]
-    edges = [0, *[m for m in marks if m > 0], len(text)]
-    items = []
-    for s, e in zip(edges, edges[1:]):
-        stop = e - 1 if e < len(text) and e > s and text[e - 1] == "\n" else e
-        items.append((s, stop))
+    root = item_tree(text)
+    if not root.children:
+        stretches = [(a, b, False) for a, b in _open(text, 0, len(text), limit - overlap, 0)]
+    else:
+        stretches = _packed(text, root, limit, limit - overlap)
     out: list[tuple[int, int, int, str]] = []
-    whole = False
-    for s, e in items:
-        if marks and whole and e - out[-1][1] <= limit:
-            out[-1] = (out[-1][0], out[-1][1], e, "item")
-        elif marks and e - s <= limit:
-            out.append((s, s, e, "item"))
-            whole = True
-        else:
-            room = limit - overlap
-            for k, (a, b) in enumerate(_open(text, s, e, room, 0)):
-                if k == 0:
-                    out.append((a, a, b, "window"))
-                else:
-                    before = out[-1]
-                    out.append((_overlap_start(text, before[1], before[2], overlap), a, b, "window"))
-                    gap = a - before[2]
-                    if b - out[-1][0] > limit:  # white space between the pieces took the room
-                        out[-1] = (max(out[-1][0], b - limit), a, b, "window") if gap < limit else (a, a, b, "window")
-            whole = False
+    for k, (a, b, whole) in enumerate(stretches):
+        if whole or k == 0 or stretches[k - 1][2] or ITEM.match(text, a):
+            out.append((a, a, b, "item" if whole else "window"))
+            continue
+        floor, end = out[-1][1], out[-1][2]
+        start = _overlap_start(text, floor, end, overlap)
+        if b - start > limit:  # white space between the pieces took the room
+            start = max(start, b - limit) if a - end < limit else a
+        out.append((start, a, b, "window"))
     return out
 
 

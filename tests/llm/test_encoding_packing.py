@@ -63,7 +63,7 @@ def test_containers(spark):
     rng = random.Random(2)
     sizes = [rng.choice([0, 1, 7, 7, 7, 30, 63, 64, 65, 200, 129]) for _ in range(400)]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)] + [(400, None)], "k long, n int")
-    rows = packing.pack(df, "k", "n", 64, buckets=3).toPandas()
+    rows = packing.pack(df, "k", "n", 64, bucket_rows=20).toPandas()
     assert rows.groupby("container_id")["size"].sum().max() <= 64
     assert {i: n for i, n in rows.groupby("k")["size"].sum().items()} == {**dict(enumerate(sizes)), 400: 0}
     pieces = rows.groupby("k").size()

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as some
 
 from clausemill.llm.repeated_lines import excess_lines, line_keys, step_up, without_excess
-from clausemill.llm.splitting import cut, pieces
+from clausemill.llm.splitting import cut, item_tree, pieces
 
 
 def norm(line):
@@ -95,3 +95,22 @@ def test_rules(spark):
     assert set(rules) == {"i", "p", "m", "b"} and out.piece.str.len().max() <= 3000
     late = out[(out.id == "p") & (out.piece_no > 0)]
     assert (late.own_start > late.start_pos).all()
+
+
+def test_subtrees_that_fit_stay_whole():
+    """Bullets nest under their letter: the second letter's subtree goes into one piece, not into the room left."""
+    one, two = "a) " + "x" * 40, "b) " + "y" * 20
+    text = "\n".join([one, two, "- " + "p" * 20, "- " + "q" * 20, "c) " + "z" * 60])
+    root = item_tree(text)
+    assert [len(n.children) for n in root.children] == [0, 2, 0]
+    got = [(text[s:e], r) for _, s, e, r in cut(text, 80, 10)]
+    assert [r for _, r in got] == ["item"] * 3 and got[1][0].startswith("b)") and got[1][0].endswith("q" * 20)
+    # numbered headings are cut before sentences are
+    head = "1 Um\n" + "aaa. " * 12 + "\n1.1 Dois\n" + "bbb. " * 12 + "\n2 Tres\n" + "ccc. " * 12
+    assert [head[s:e].split("\n")[0] for _, s, e, _ in cut(head, 90, 10)] == ["1 Um", "1.1 Dois", "2 Tres"]
+
+
+def test_deep_nesting_and_many_items():
+    text = "\n".join(("a) x" if i % 2 else "- y") for i in range(6000))
+    got = cut(text, 3000, 300)
+    assert all(r == "item" and e - s <= 3000 for s, _, e, r in got) and got[-1][2] == len(text)
