@@ -170,12 +170,12 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What containers of 8,192 characters hold: every character once, none over its capacity."""
+    """What containers of 2,048 characters hold: every character once, none over its capacity."""
     from clausemill.llm.packing import pack
 
     own = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("chars"))
-    packed = stash(pack(own, "doc_id", "chars", 8192), "packed")
-    over = packed.groupBy("container_id").agg(F.sum("size").alias("used")).agg(F.count_if(F.col("used") > 8192).alias("overfull"))
+    packed = stash(pack(own, "doc_id", "chars", 2048), "packed")
+    over = packed.groupBy("container_id").agg(F.sum("size").alias("used")).agg(F.count_if(F.col("used") > 2048).alias("overfull"))
     return packed.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("doc_id", "piece_no").alias("pieces"), F.sum("size").cast("long").alias("chars")).crossJoin(over)  # one row each
 
 
@@ -215,7 +215,7 @@ SELECT clause_id, CASE WHEN bool_or(item) AND max(size) <= 3000 THEN 'item' ELSE
 
 
 _P4_COVER = r"SELECT DISTINCT clause_id, length(regexp_replace(text, '[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g')) AS solid_chars, 0::BIGINT AS broken FROM parsed_clause WHERE length(text) > 3000"
-_P8 = "SELECT count(*) AS documents, sum(greatest(1, (coalesce(length(text), 0) + 8191) // 8192))::BIGINT AS pieces, sum(length(text))::BIGINT AS chars, 0::BIGINT AS overfull FROM documents"
+_P8 = "SELECT count(*) AS documents, sum(greatest(1, (coalesce(length(text), 0) + 2047) // 2048))::BIGINT AS pieces, sum(length(text))::BIGINT AS chars, 0::BIGINT AS overfull FROM documents"
 
 
 def oracle_sql() -> dict[str, str]:

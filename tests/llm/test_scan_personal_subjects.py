@@ -28,6 +28,73 @@ def test_scan_lines(spark):
     assert scan_repair.repair(scanned.where("false"), clean.where("false"), "k", "doc", "owner", "text").count() == 0
 
 
+def scanned_rows(n):
+    """Clauses with planted damage, and what was planted: (id, line_no, kind)."""
+    rng = random.Random(4)
+    nouns = ["veículo", "segurado", "contrato", "sinistro", "guincho", "documento", "pagamento", "reboque"]
+    verbs = ["comunicará", "apresentará", "registrará", "suspenderá"]
+    say = lambda: f"o {rng.choice(nouns)} {rng.choice(verbs)} o {rng.choice(nouns)} ao {rng.choice(nouns)} indicado"
+    clean = [(f"c{i}", f"d{i}", "Casa Seguros S.A.", ". ".join(say() for _ in range(4))) for i in range(60)]
+    rows, planted = [], set()
+    for i in range(n):
+        lines = []
+        for no in range(6):
+            words = say().split()
+            kind = rng.choice(["plain", "misread", "furniture", "split"])
+            if kind == "misread":
+                at = rng.choice([k for k, w in enumerate(words) if "m" in w or "d" in w and len(w) > 3])
+                words[at] = words[at].replace("m", "rn", 1) if "m" in words[at] else words[at].replace("d", "cl", 1)
+                planted.add((f"s{i}", no, "misread"))
+            if kind == "furniture":
+                words = rng.choice([["Casa", "Seguros", "S.A.", str(no)], ["Página", str(no), "de", "9"], ["Folheto", "Azul", "Rev.", str(no)]])
+                planted.add((f"s{i}", no, "furniture"))
+            if kind == "split" and no < 5:
+                words = [*words[:-1], "regu-"]
+                lines.append(" ".join(words))
+                planted.add((f"s{i}", no, "split_word"))
+                continue
+            if lines and lines[-1].endswith("regu-") and kind != "furniture":
+                words = ["lamento", *words]
+            lines.append(" ".join(words))
+        if lines[-1].endswith("regu-") or any(x.endswith("regu-") and (k + 1 == len(lines) or not lines[k + 1].startswith("lamento")) for k, x in enumerate(lines)):
+            planted = {p for p in planted if p[0] != f"s{i}"}
+            continue
+        rows.append((f"s{i}", f"x{i}", " CASA seguros S.A.", "\n".join(lines)))
+    clean += [(f"r{i}", f"r{i}", "Casa Seguros S.A.", f"o regulamento {i} vale") for i in range(4)]
+    return rows, clean, planted
+
+
+def test_planted_damage_is_found(spark):
+    """Whether the answers are broadcast or joined by text, and however often the clean texts are given."""
+    rows, clean, planted = scanned_rows(60)
+    schema = "k string, doc string, owner string, text string"
+    scanned, right = spark.createDataFrame(rows, schema), spark.createDataFrame(clean, schema)
+    twice = right.unionByName(right.selectExpr("concat('again', k) as k", "concat('again', doc) as doc", "owner", "text"))
+    found = []
+    for texts, bound in ((right, 1000), (right, 0), (twice, 1000)):
+        got = scan_repair.repair(scanned, texts, "k", "doc", "owner", "text", broadcast_rows=bound).collect()
+        found.append({(r["k"], x["line_no"], x["kind"]) for r in got for x in r["kinds"]})
+    assert found[0] == found[1] == found[2]
+    assert len(found[0] & planted) >= 0.97 * len(planted) and len(found[0] & planted) >= 0.97 * len(found[0])
+
+
+def test_parts_of_the_vocabulary_answer_as_one_trie_does(spark):
+    words = ["segurado", "segurada", "sinistro", "comunicar", "mão-de-obra", "ano", "reboque", "dano", "rebocado", "outro"]
+    tokens = ["scgurado", "5inistro", "cornunicar", "mâo-dc-obra", "an0", "rebogue", "clano", "0utro", "xutro", "segurado", "reb0qu3"]
+    vocabulary = spark.createDataFrame([(w, 5) for w in words], "word string, n long")
+    forms = spark.createDataFrame([(t,) for t in tokens], "form string")
+    trie = scan_repair.Trie(words)
+    want = {}
+    for t in tokens:
+        got = scan_repair.candidates_in(trie, t)
+        low = min((g[0] for g in got), default=0)
+        if t not in words and got:
+            want[t] = {(c, w) for tier, c, w in got if tier == low}
+    for part_words in (40_000, 0.02):
+        out = {r["form"]: r for r in scan_repair.answers_for(forms, vocabulary, part_words).collect()}
+        assert out.pop("segurado")["known"] and {f: {(c["cost"], c["word"]) for c in r["cands"]} for f, r in out.items()} == want
+
+
 def test_trie_finds_all_words_within_the_distance():
     import random
 
