@@ -11,7 +11,7 @@ WORDING = ["o segurado deverá comunicar o sinistro à seguradora no prazo contr
 
 
 def clean_rows():
-    return [(f"c{i}", f"d{i}", "Casa Seguros S.A.", "\n".join(w.capitalize() + "." for w in WORDING)) for i in range(12)]
+    return [(f"c{i}", f"d{i}", "Casa Seguros S.A.", "\n".join([*(w.capitalize() + "." for w in WORDING), f"Texto {i}."])) for i in range(12)]
 
 
 def test_scan_lines(spark):
