@@ -125,7 +125,7 @@ def signatures(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def sign(records: DataFrame, id_col: str, part_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, part, tk, n, s0.., bands): one row per record that has a shingle; bands ARRAY<BIGINT>."""
+    """(id, part, tk, n, s0.., bands): one row per record that has a shingle; bands ARRAY<INT>, a key at each place."""
     names = [f"s{i}" for i in range(BITS // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +133,7 @@ def sign(records: DataFrame, id_col: str, part_col: str, text_col: str, width: i
         for batch in slices(batches, "text", BATCH_CHARS):
             key, n, sketch, long, short = signatures(batch.column("text").to_pylist(), width)
             has = np.flatnonzero(n > 0)
-            index = np.arange(BANDS + SHORT_BANDS, dtype=np.int64) << 32
-            every = np.concatenate([long, short], axis=1).view(np.uint32).astype(np.int64) | index
+            every = np.concatenate([long, short], axis=1)
             # a long text has no short band
             use = np.concatenate([np.ones((len(n), BANDS), dtype=bool), np.repeat((n <= SHORT)[:, None], SHORT_BANDS, 1)], axis=1)[has]
             fresh = []
@@ -150,7 +149,7 @@ def sign(records: DataFrame, id_col: str, part_col: str, text_col: str, width: i
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("part").take(take), pa.array(key[has]), pa.array(n[has].astype(np.int32)), *[pa.array(np.ascontiguousarray(sketch[has, i])) for i in range(BITS // 64)], bands], names=["id", "part", "tk", "n", *names, "bands"])
 
     picked = records.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.col(text_col).alias("text")).where("id is not null and length(text) > 0")
-    return picked.mapInArrow(run, "id string, part string, tk bigint, n int, " + ", ".join(f"{s} bigint" for s in names) + ", bands array<bigint>")
+    return picked.mapInArrow(run, "id string, part string, tk bigint, n int, " + ", ".join(f"{s} bigint" for s in names) + ", bands array<int>")
 
 
 def jaccard(a: str, b: str, width: int) -> float:
@@ -164,7 +163,10 @@ def jaccard(a: str, b: str, width: int) -> float:
 def linked_texts(signed: DataFrame, records: DataFrame, id_col: str, text_col: str, threshold: float, width: int) -> DataFrame:
     """(ta, tb, similarity): pairs of different texts, by text key, ta < tb, at least as similar as the threshold."""
     # copies in different tasks meet in their bucket; one partitioning serves the removal of copies and the join
-    banded = signed.select("tk", "n", F.explode("bands").alias("band")).repartition("band").dropDuplicates(["band", "tk", "n"])
+    # a key and its place in one number
+    placed = signed.select("tk", "n", F.posexplode("bands").alias("place", "key"))
+    band = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("key").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    banded = placed.select("tk", "n", band.alias("band")).repartition("band").dropDuplicates(["band", "tk", "n"])
     left, right = banded.withColumnsRenamed({"tk": "ta", "n": "ka"}), banded.withColumnsRenamed({"tk": "tb", "n": "kb"})
     # two sets are no more similar than the smaller is to the larger in size
     size_fits = F.least("ka", "kb") >= F.greatest("ka", "kb") * F.lit(threshold - 1e-9)
