@@ -375,10 +375,8 @@ _FILTERED = f"{_BM25}, g AS (SELECT b.question, b.clause_id, b.score FROM b JOIN
 
 
 def _filtered(spark: SparkSession, d: str) -> DataFrame:
-    """Scores with the statistics of the whole corpus, then only the question's own document."""
-    own = questions(spark, d).select("question", "document_id")
-    where = _corpus(spark, d).select("clause_id", "document_id")
-    return _scored(spark, d).join(where, "clause_id").join(own, ["question", "document_id"]).select("question", "clause_id", "score")
+    """Scores with the statistics of the whole corpus, of the question's own document only."""
+    return rt.bm25(_corpus(spark, d), "clause_id", "body", questions(spark, d).select("question", "document_id", "asked"), "question", "asked", scope="document_id")
 
 
 @_query(f"WITH {_FILTERED}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS rank FROM g) SELECT question, clause_id, rank FROM r WHERE rank <= 10")
@@ -466,8 +464,9 @@ def _rank_sql(values: str, share: float) -> str:
 
 @_query(f"WITH {CLAUSES}, n AS (SELECT document_id, length(text) AS n FROM c) SELECT document_id, count(*) AS clauses, min(n) AS least, {_rank_sql('n', 0.5)} AS p50, {_rank_sql('n', 0.9)} AS p90, max(n) AS most, round(avg(n), 6) AS mean FROM n GROUP BY 1")
 def q_length_summary(spark: SparkSession, d: str) -> DataFrame:
-    own = clauses(spark, d).groupBy("document_id").agg(F.collect_list(F.char_length("text")).alias("n"), F.round(F.avg(F.char_length("text")), 6).alias("mean"))
-    return own.select("document_id", F.size("n").cast("bigint").alias("clauses"), F.array_min("n").alias("least"), nm.nearest_rank("n", 0.5).alias("p50"), nm.nearest_rank("n", 0.9).alias("p90"), F.array_max("n").alias("most"), "mean")
+    own = clauses(spark, d).select("document_id", F.char_length("text").alias("n"))
+    sums = own.groupBy("document_id").agg(F.count("*").alias("clauses"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
+    return sums.join(rt.nearest_ranks(own, "document_id", "n", {"p50": 0.5, "p90": 0.9}), "document_id")
 
 
 @_query(f"WITH {CLAUSES}, n AS (SELECT document_id, count(*) AS n FROM c GROUP BY 1), r AS (SELECT document_id, max(clause_count) AS reported FROM chunk_report GROUP BY 1) SELECT coalesce(n.document_id, r.document_id) AS document_id, n.n AS clauses, r.reported, CASE WHEN r.reported IS NULL THEN 'missing' WHEN n.n IS NULL THEN 'gone' WHEN n.n <> r.reported THEN 'outdated' ELSE 'current' END AS state FROM n FULL JOIN r ON n.document_id = r.document_id")

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from clausemill.plans import catalogue
+from clausemill.plans import catalogue, evaluation, linking  # noqa: F401 - the last two add queries
 
 
 @pytest.fixture(scope="module")
