@@ -35,6 +35,13 @@ def cnpj_digits(c: Column | str) -> Column:
     return F.when(F.length(d).isin(13, 14), F.lpad(d, 14, "0"))
 
 
+def cnpj_formatted(c: Column | str) -> Column:
+    """The punctuated form; null without 13 or 14 digits."""
+    d = cnpj_digits(c)
+    part = lambda start, n: F.substring(d, start, n)
+    return F.concat(part(1, 2), F.lit("."), part(3, 3), F.lit("."), part(6, 3), F.lit("/"), part(9, 4), F.lit("-"), part(13, 2))
+
+
 def _mod11(digits: Column, weights: list[int]) -> Column:
     total = sum((F.substring(digits, i + 1, 1).cast("int") * w for i, w in enumerate(weights)), F.lit(0))
     rest = total % 11

@@ -81,19 +81,43 @@ def cross_references(c: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?i)cl[áa]usulas?\s+([0-9]+(?:\.[0-9]+)*)"), 1))
 
 
+#: Label and shape of each detector, in the order of their labels; shapes stand between word ends.
+SHAPES = (
+    ("plate_old_format", r"[A-Za-z]{3}-?[0-9]{4}"),
+    ("plate_mercosul_format", r"[A-Za-z]{3}[0-9][A-Za-z][0-9]{2}"),
+    ("cpf_like", r"[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}-?[0-9]{2}"),
+    ("rg_like", r"[0-9]{1,2}\.?[0-9]{3}\.?[0-9]{3}-?[0-9Xx]"),
+)
+#: Fixed value: two capitalised words.
+TWO_NAMES = r"[A-ZÀ-Ý][a-zà-ÿ]+\s+[A-ZÀ-Ý][a-zà-ÿ]+"
+
+
 def personal_flags(c: Column | str) -> Column:
-    """Labels of the five shape detectors that hit, in fixed order."""
-    # fixed values: label and pattern of each detector
-    detectors = (
-        ("cpf_like", r"[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}-?[0-9]{2}"),
-        ("phone_like", r"\(?[0-9]{2}\)?\s?9?[0-9]{4}-?[0-9]{4}"),
-        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-        ("plate_old_format", r"[A-Z]{3}-?[0-9]{4}"),
-        ("plate_mercosul_format", r"[A-Z]{3}[0-9][A-Z][0-9]{2}"),
-    )
+    """Labels of the five shape detectors that hit, in fixed order; two capitalised words count unless a sentence
+    begins with them."""
+    word = r"[\p{L}\p{N}_]"
+    detectors = [(n, rf"(?<!{word}){p}(?!{word})") for n, p in SHAPES]
+    detectors.append(("possible_proper_name", rf"(?<![.!?]\s)(?<!{word}){TWO_NAMES}(?!{word})"))
     return F.array_compact(F.array(*[F.when(F.regexp_like(c, F.lit(p)), F.lit(n)) for n, p in detectors]))
 
 
 def fingerprint(*parts: Column | str) -> Column:
     """First 16 hex digits of the SHA-256 of the parts joined by a bar."""
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+
+
+def next_label(label: Column | str) -> Column:
+    """A dotted number with its last part counted up by one."""
+    c = F.col(label) if isinstance(label, str) else label
+    last = F.regexp_extract(c, r"([0-9]+)$", 1).cast("bigint") + 1
+    return F.concat(F.regexp_extract(c, r"^(.*\.)?[0-9]+$", 1), last.cast("string"))
+
+
+def terms_held(folded: Column, terms: tuple[str, ...]) -> Column:
+    """Those of the terms that a folded text holds, in the order given."""
+    return F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(t)), F.lit(t)) for t in terms]))
+
+
+def numbered(steps: Column | str) -> Column:
+    """The elements of an array as lines ``1. first``, ``2. second``."""
+    return F.array_join(F.transform(steps, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")

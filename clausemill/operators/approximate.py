@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.functions.numbers import dot
+from clausemill.operators.retrieval import best, blockwise
 
 #: Centroids are fitted on at most this many vectors, those of the smallest hash.
 FIT_ROWS = 20_000
+MOST_CELLS = 1_024
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -57,11 +58,30 @@ def in_cells(vectors: DataFrame, key: str, vector_col: str, centers: np.ndarray,
     return picked.mapInArrow(run, f"{key} bigint, cell int, v array<double>")
 
 
-def search(vectors: DataFrame, key: str, vector_col: str, questions: DataFrame, question_key: str, question_vector: str, k: int, cells: int = 16, probes: int = 12) -> DataFrame:
-    """(question, key, score, rank): approximate cosine top k; a cell is joined with the questions that probe it."""
+def probes_for(vectors: DataFrame, key: str, vector_col: str, centers: np.ndarray, k: int, recall: float) -> int:
+    """The fewest cells to probe that reach the recall for vectors of the bounded sample among the sample."""
+    rows = vectors.where(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(key)).limit(FIT_ROWS).select(vector_col).toArrow()
+    if not rows.num_rows:
+        return 1
+    sample = _matrix(rows.column(0).combine_chunks())
+    asked = sample[:: max(1, len(sample) // 300)]
+    cell = np.argmax(sample @ centers.T, axis=1)
+    exact = np.argsort(-(asked @ sample.T), axis=1, kind="stable")[:, :k]
+    order = np.argsort(-(asked @ centers.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)  # at which probe a cell is read
+    needed = np.take_along_axis(place, cell[exact], axis=1).ravel()
+    return int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+
+
+def search(vectors: DataFrame, key: str, vector_col: str, questions: DataFrame, question_key: str, question_vector: str, k: int, recall: float = 0.95) -> DataFrame:
+    """(question, key, score, rank): approximate cosine top k; a cell is joined with the questions that probe it.
+
+    There are about as many cells as the square root of the vectors, at most MOST_CELLS; as many are probed as the
+    sample needs for the recall asked for. Cells are scored in blocks.
+    """
+    cells = int(min(MOST_CELLS, max(1, vectors.count() ** 0.5)))
     centers = fit_cells(vectors, key, vector_col, cells)
-    index = in_cells(vectors, key, vector_col, centers, 1)
-    asked = in_cells(questions, question_key, question_vector, centers, probes).select(F.col(question_key).alias("question"), "cell", F.col("v").alias("q"))
-    scored = asked.join(index, "cell").select("question", key, F.round(dot("q", "v"), 9).alias("score"))
-    w = Window.partitionBy("question").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    probes = probes_for(vectors, key, vector_col, centers, k, recall)
+    index = in_cells(vectors, key, vector_col, centers, 1).select(F.col(key).alias("key"), F.col("cell").cast("long").alias("g"), "v")
+    asked = in_cells(questions, question_key, question_vector, centers, probes).select(F.col(question_key).alias("question"), F.col("cell").cast("long").alias("g"), "v")
+    return best(blockwise(asked, index, key, k), "question", key, "score", k)

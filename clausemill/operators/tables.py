@@ -64,3 +64,22 @@ def majority(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
     counted = rows.groupBy(group, value).agg(F.count("*").alias("votes"), F.min(order).alias("first"))
     top = counted.groupBy(group).agg(F.max(F.struct(F.col("votes"), (-F.col("first")).alias("early"), F.col(value))).alias("m"), (F.count("*") == 1).alias("unanimous"))
     return top.select(group, F.col(f"m.{value}").alias(value), F.col("m.votes").alias("votes"), "unanimous")
+
+
+def cache_report(requests: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """(hits, misses, fills, held_before): requests a keyed cache answers, those it does not, and the new entries.
+
+    Requests under a null key are not counted; equal requests that miss fill one entry.
+    """
+    asked = requests.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    both = asked.join(held.select(key, F.lit(True).alias("here")), key, "left")
+    hit = F.col("here").isNotNull()
+    counts = both.agg(F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("hits"), F.coalesce(F.sum(F.when(~hit, F.col("n"))), F.lit(0)).alias("misses"), F.count_if(~hit).alias("fills"))
+    return counts.crossJoin(F.broadcast(held.agg(F.count("*").alias("held_before"))))  # one row each
+
+
+def append_sequence(old: DataFrame, new: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``new`` with its ``sequence``, counted on from the greatest of its group in ``old``; from 0 in a new group."""
+    top = old.groupBy(group).agg(F.max("sequence").alias("_top"))
+    placed = new.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return placed.join(top, group, "left").withColumn("sequence", F.coalesce("_top", F.lit(-1)) + F.col("_k")).drop("_top", "_k")
