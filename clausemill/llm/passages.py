@@ -5,13 +5,17 @@ hash lowest among neighbouring ones, chosen so that every stretch of ``span`` ch
 suffix and its first k characters. Suffixes are split by those characters; groups of one document fall away at
 once. Each remaining group is a subtree: its suffixes are sorted, neighbouring common prefixes give the internal
 nodes, and a node reaches as far left as its leaves agree. A node deep enough in both directions is a repeat.
-Groups beyond ``GROUP`` suffixes are split by longer prefixes, up to whole spans, which are counted by a plain
-aggregation that sums in parts; so no task holds a group larger than GROUP.
+A group beyond ``GROUP`` suffixes is split by longer prefixes: for each step of depth that its nodes can have, its
+suffixes are grouped anew by the longest stretch that leaves under such a node must share, which reaches right to
+the step's depth and left by what the span still needs. Each of these groups is a subtree of its own. Where even
+one of them is beyond GROUP, hundreds of suffixes share nearly a whole span; the prefix then grows to the span
+itself, whose node needs no tree, as it is a repeat once two documents hold it. That is counted by an aggregation
+that sums in parts; so no task holds a group larger than GROUP.
 
 Every kept suffix of every text takes part; nothing is capped. Positions are code points.
 
 Cases: null, empty and short texts have no passage; rows with a null id or document are ignored; repeated rows
-count once, as they are of one document; extra columns are ignored; an empty table gives an empty table.
+count once, as they are of one document; of two texts under one id each gives its own runs; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,18 +28,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.llm.arrow import slices
-from clausemill.llm.textarrays import Hasher, codepoints
+from clausemill.llm.textarrays import Hasher, codepoints, distinct, mix
 from clausemill.storage import stash
 
 BROADCAST_ROWS = 400_000
 BATCH_CHARS = 400_000
 GROUP = 400
+#: By how many characters the prefixes of a large group grow.
+STEP = 30
 
 
 def prefix_length(span: int) -> int:
     return max(1, span * 2 // 5)
 
 
+def steps(span: int) -> list[tuple[int, int, int]]:
+    """(right, below, left) for every step of depth: leaves that share right to below characters, the latter not
+    included, and a whole span with what stands left of them, share ``right`` and ``left`` of them at least."""
+    edges = [*range(prefix_length(span), span, STEP), span]
+    return [*((r, e, span - e + 1) for r, e in zip(edges, edges[1:])), (span, span + 1, 0)]
+
+
 def _sliding(values: np.ndarray, width: int, best: Callable) -> np.ndarray:
     """``best`` of every window of this width."""
     done = 1
@@ -137,7 +150,9 @@ def shared_passages(records: DataFrame, id_col: str, doc_col: str, text_col: str
     k = prefix_length(span)
     reach = span - k
     own = records.select(F.col(id_col).cast("string").alias("id"), F.col(doc_col).cast("string").alias("doc"), F.col(text_col).alias("text")).where((F.char_length("text") >= span) & F.col("id").isNotNull() & F.col("doc").isNotNull())
-    hashed = own.select(F.xxhash64("id").alias("c"), F.xxhash64("doc").alias("d"), "text")
+    # two texts under one id are two texts
+    own = own.withColumn("c", F.xxhash64("id", "text")).withColumn("id", F.concat_ws(":", "c", "id"))
+    hashed = own.select("c", F.xxhash64("doc").alias("d"), "text")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_CHARS):
@@ -151,8 +166,10 @@ def shared_passages(records: DataFrame, id_col: str, doc_col: str, text_col: str
     hits = suffixes.join(F.broadcast(groups) if few else groups, "h")
     by_text = stash(hits.groupBy("c").agg(F.sort_array(F.collect_set(F.struct("pos", "h", "hot"))).alias("marks")), "marks")
     if by_text.count() <= BROADCAST_ROWS:
-        own = own.withColumn("c", F.xxhash64("id")).join(F.broadcast(by_text.select("c")), "c", "left_semi")
-    marked = own.withColumn("c", F.xxhash64("id")).dropDuplicates(["id"]).join(by_text, "c").select("id", F.xxhash64("doc").alias("d"), "text", F.col("marks.pos").alias("pos"), F.col("marks.h").alias("h"), F.col("marks.hot").alias("hot"))
+        own = own.join(F.broadcast(by_text.select("c")), "c", "left_semi")
+    own = own.dropDuplicates(["c"])
+    marked = own.join(by_text, "c").select("c", "id", F.xxhash64("doc").alias("d"), "text", F.col("marks.pos").alias("pos"), F.col("marks.h").alias("h"), F.col("marks.hot").alias("hot"))
+    bands = steps(span)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,23 +210,47 @@ def shared_passages(records: DataFrame, id_col: str, doc_col: str, text_col: str
             close()
         yield flush()
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every suffix of a large group under the longer prefix of each step."""
         for batch in batches:
             for i, (text, pos, hot) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "pos", "hot")))):
-                at = [p for p, much in zip(pos, hot) if much]
-                if not at:
+                at = np.array([p for p, much in zip(pos, hot) if much], dtype=np.int64)
+                if not len(at):
+                    continue
+                hasher = Hasher(codepoints([text])[0], 0)
+                for step, (right, _, left) in enumerate(bands):
+                    fit = at[(at >= left) & (at + right <= len(text))]
+                    key = mix(hasher.of(fit - left, fit + right) + np.uint64(step)).view(np.int64)
+                    take = pa.array(np.full(len(fit), i))
+                    yield pa.RecordBatch.from_arrays([batch.column("c").take(take), batch.column("d").take(take), pa.array(fit.astype(np.int32)), pa.array(np.full(len(fit), step, dtype=np.int32)), pa.array(key)], names=["c", "d", "pos", "step", "h"])
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole spans around the suffixes whose group stays large, those of the step's depths only."""
+        for batch in batches:
+            for i, (text, pos, step, hot) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "pos", "step", "hot")))):
+                parts = [np.arange(p - span + bands[n][0], p - span + bands[n][1]) for p, n, much in zip(pos, step, hot) if much]
+                if not parts:
                     continue
-                starts = np.unique(np.concatenate([np.arange(max(0, p - reach), min(p, len(text) - span) + 1) for p in at]))
+                starts = distinct(np.concatenate(parts))
+                starts = starts[(starts >= 0) & (starts + span <= len(text))]
                 flat, _ = codepoints([text])
                 one = Hasher(flat, 0).of(starts, starts + span).view(np.int64)
                 two = Hasher(flat, 1).of(starts, starts + span).view(np.int64)
                 take = pa.array(np.full(len(starts), i))
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("d").take(take), pa.array(one), pa.array(two), pa.array(starts)], names=["id", "d", "h1", "h2", "s"])
 
-    small = marked.where(F.exists("hot", lambda x: ~x)).mapInArrow(contexts, "id string, d bigint, h bigint, pos int, left string, right string")
-    runs = small.repartition("h").sortWithinPartitions("h").mapInArrow(trees, "id string, s bigint, e bigint")
+    def by_trees(of: DataFrame) -> DataFrame:
+        small = of.where(F.exists("hot", lambda x: ~x)).mapInArrow(contexts, "id string, d bigint, h bigint, pos int, left string, right string")
+        return small.repartition("h").sortWithinPartitions("h").mapInArrow(trees, "id string, s bigint, e bigint")
+
+    runs = by_trees(marked)
     if groups.where("hot").limit(1).count():
-        wide = stash(marked.where(F.exists("hot", lambda x: x)).mapInArrow(spans, "id string, d bigint, h1 bigint, h2 bigint, s bigint"), "spans")
+        split = stash(marked.where(F.exists("hot", lambda x: x)).mapInArrow(longer, "c bigint, d bigint, pos int, step int, h bigint"), "longer")
+        parts = split.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", (F.col("n") > group).alias("hot"))
+        again = split.join(parts, "h").groupBy("c").agg(F.sort_array(F.collect_set(F.struct("pos", "step", "h", "hot"))).alias("marks"))
+        deeper = stash(own.join(again, "c").select("id", F.xxhash64("doc").alias("d"), "text", *[F.col(f"marks.{x}").alias(x) for x in ("pos", "step", "h", "hot")]), "deeper")
+        runs = runs.unionByName(by_trees(deeper))
+        wide = stash(deeper.where(F.exists("hot", lambda x: x)).mapInArrow(spans, "id string, d bigint, h1 bigint, h2 bigint, s bigint"), "spans")
         both = wide.groupBy("h1", "h2").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("h1", "h2")
         runs = runs.unionByName(wide.join(both, ["h1", "h2"], "left_semi").select("id", "s", (F.col("s") + span).alias("e")))
     ordered = runs.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("r"))
@@ -220,4 +261,5 @@ def shared_passages(records: DataFrame, id_col: str, doc_col: str, text_col: str
         return F.when(last["e"] >= x["s"], grown).otherwise(F.concat(done, F.array(x)))
 
     merged = ordered.select("id", F.explode(F.aggregate(F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0))), F.slice("r", 1, 1), join)).alias("x"))
-    return merged.select(F.col("id").alias(id_col), F.col("x.s").alias("start_pos"), F.col("x.e").alias("end_pos"))
+    whose = F.expr("substring(id, instr(id, ':') + 1)")
+    return merged.select(whose.alias(id_col), F.col("x.s").alias("start_pos"), F.col("x.e").alias("end_pos")).distinct()

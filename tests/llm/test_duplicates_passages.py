@@ -8,6 +8,7 @@ from hypothesis import strategies as some
 
 from clausemill.llm import near_duplicates as nd
 from clausemill.llm.components import components
+from clausemill.llm import passages
 from clausemill.llm.passages import sampled, shared_passages, subtree_repeats
 
 WORDS = [f"palavra{i}" for i in range(4000)]
@@ -103,8 +104,10 @@ def brute(rows, span):
     return out
 
 
-@pytest.mark.parametrize("group", [1, 3, 400])
-def test_passages_against_brute_force(spark, group):
+@pytest.mark.parametrize("group, step", [(1, 30), (3, 5), (6, 9), (400, 30)])
+def test_passages_against_brute_force(spark, group, step, monkeypatch):
+    """Whatever the bound on groups, so with trees of one prefix, of longer ones, and with prefixes of whole spans."""
+    monkeypatch.setattr(passages, "STEP", step)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
     common = [" ".join(word() for _ in range(25)) for _ in range(4)]
@@ -113,9 +116,9 @@ def test_passages_against_brute_force(spark, group):
         parts = [rng.choice(common)[rng.randint(0, 20) : rng.randint(60, 120)] if rng.random() < 0.6 else " ".join(word() for _ in range(15)) for _ in range(4)]
         rows.append((f"k{i}", f"d{i % 13}", " ".join(parts)))
     rows += [("p1", "d90", "x" * 150), ("p2", "d91", "y" + "x" * 90), ("short", "d92", "abc")]
-    df = spark.createDataFrame([(*r, 1) for r in [*rows, rows[0], ("n", "d1", None), ("e", "d1", ""), (None, "d1", rows[1][2])]], "k string, doc string, text string, start_pos int")
+    df = spark.createDataFrame([(*r, 1) for r in [*rows, rows[0], ("n", "d1", None), ("e", "d1", ""), (None, "d1", rows[1][2]), ("k3", "d77", rows[1][2])]], "k string, doc string, text string, start_pos int")
     got = {tuple(r) for r in shared_passages(df, "k", "doc", "text", 40, group).collect()}
-    assert got == brute(rows, 40)
+    assert got == brute([*rows, ("k3", "d77", rows[1][2])], 40)
     assert shared_passages(df.where("false"), "k", "doc", "text", 40).count() == 0
 
 
