@@ -163,10 +163,13 @@ def jaccard(a: str, b: str, width: int) -> float:
 def linked_texts(signed: DataFrame, records: DataFrame, id_col: str, text_col: str, threshold: float, width: int) -> DataFrame:
     """(ta, tb, similarity): pairs of different texts, by text key, ta < tb, at least as similar as the threshold."""
     # copies in different tasks meet in their bucket; one partitioning serves the removal of copies and the join
-    # a key and its place in one number
+    # place, key and size in one number, so that what is shuffled holds two; a size over 2**24 counts as that
     placed = signed.select("tk", "n", F.posexplode("bands").alias("place", "key"))
-    band = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("key").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
-    banded = placed.select("tk", "n", band.alias("band")).repartition("band").dropDuplicates(["band", "tk", "n"])
+    key = F.shiftleft(F.col("key").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)), 24)
+    packed = F.shiftleft(F.col("place").cast("bigint"), 56).bitwiseOR(key).bitwiseOR(F.least("n", F.lit((1 << 24) - 1)).cast("bigint"))
+    band, size = F.shiftright("packed", 24), F.col("packed").bitwiseAND(F.lit((1 << 24) - 1))
+    spread = placed.select("tk", packed.alias("packed")).repartition(band)
+    banded = spread.select("tk", size.cast("int").alias("n"), band.alias("band")).dropDuplicates(["band", "tk", "n"])
     left, right = banded.withColumnsRenamed({"tk": "ta", "n": "ka"}), banded.withColumnsRenamed({"tk": "tb", "n": "kb"})
     # two sets are no more similar than the smaller is to the larger in size
     size_fits = F.least("ka", "kb") >= F.greatest("ka", "kb") * F.lit(threshold - 1e-9)
