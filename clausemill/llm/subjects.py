@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.llm.textarrays import Hasher, distinct, mix
-from clausemill.storage import stash
+from clausemill.storage import drop, stash
 
 DIMENSIONS = 1 << 18
 CLUSTER_DIMENSIONS = 1 << 12
@@ -215,7 +215,7 @@ def fit_mixtures(cut: DataFrame, leaves: int = LEAVES) -> tuple[LeafMixtures, in
         placed = model.transform(vectors).select("terms", "leaf")
         n_leaves = len(model.clusterCenters())
     else:
-        placed, n_leaves = known.select("terms", F.lit(0).alias("leaf")), 1
+        placed, n_leaves, vectors = known.select("terms", F.lit(0).alias("leaf")), 1, known
 
     def by_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,6 +225,8 @@ def fit_mixtures(cut: DataFrame, leaves: int = LEAVES) -> tuple[LeafMixtures, in
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(n)], names=["place", "n"])
 
     got = placed.mapInArrow(by_leaf, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    drop(vectors)
+    drop(known)
     inside = np.zeros((DIMENSIONS + 1, n_leaves), dtype=np.float32)
     inside.ravel()[got.column("place").to_numpy()] = got.column("n").to_numpy()
     size, inside = inside[-1], inside[:-1]
