@@ -33,22 +33,35 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back; cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    # a folder for each application, so what a killed driver leaves is told apart from what is in use
+    path = f"{shared_dir(spark)}/clausemill-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stashed = path
+    return back
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that :func:`stash` returned, once nothing will read it again."""
+    path = getattr(df, "_stashed", None)
+    for entry in [e for e in _written if e[1] == path]:
+        _written.remove(entry)
+        _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM may be gone at exit
+        pass
 
 
 def sweep() -> None:
     """Delete the intermediate tables of this process; results still reading them must be consumed before."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may be gone at exit
-            pass
+        _delete(*_written.pop())
 
 
 atexit.register(sweep)
