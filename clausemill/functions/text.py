@@ -107,9 +107,9 @@ def fingerprint(*parts: Column | str) -> Column:
 
 
 def next_label(label: Column | str) -> Column:
-    """A dotted number with its last part counted up by one."""
+    """A dotted number with its last part counted up by one; null for anything else."""
     c = F.col(label) if isinstance(label, str) else label
-    last = F.regexp_extract(c, r"([0-9]+)$", 1).cast("bigint") + 1
+    last = F.regexp_extract(c, r"^(?:[0-9]+\.)*([0-9]{1,18})$", 1).try_cast("bigint") + 1
     return F.concat(F.regexp_extract(c, r"^(.*\.)?[0-9]+$", 1), last.cast("string"))
 
 
