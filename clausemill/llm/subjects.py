@@ -227,11 +227,13 @@ def fit_mixtures(cut: DataFrame, leaves: int = LEAVES) -> tuple[LeafMixtures, in
     got = placed.mapInArrow(by_leaf, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     drop(vectors)
     drop(known)
-    inside = np.zeros((DIMENSIONS + 1, n_leaves), dtype=np.float32)
-    inside.ravel()[got.column("place").to_numpy()] = got.column("n").to_numpy()
-    size, inside = inside[-1], inside[:-1]
     terms = np.flatnonzero(usable)
-    inside = inside[terms]
+    row = np.zeros(DIMENSIONS + 1, dtype=np.int64)
+    row[terms], row[DIMENSIONS] = np.arange(len(terms)), len(terms)  # the last row holds the leaves' sizes
+    term, leaf = np.divmod(got.column("place").to_numpy(), n_leaves)
+    inside = np.zeros((len(terms) + 1, n_leaves), dtype=np.float32)
+    inside[row[term], leaf] = got.column("n").to_numpy()
+    size, inside = inside[-1], inside[:-1]
     outside = spread[terms][:, None] - inside
     odds = np.log((inside + 0.1) / (size + 1)) - np.log((outside + 0.1) / np.maximum(1.0, held - size + 1))
     odds = np.where((inside >= 2) & (odds > ODDS), odds, 0.0).astype(np.float32)
