@@ -355,6 +355,12 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return rt.bm25(_corpus(spark, d), "clause_id", "body", questions(spark, d), "question", "asked")
 
 
+def _top(spark: SparkSession, d: str, per: str | None = None) -> DataFrame:
+    """The ten best clauses of each question, or documents by their best clause; repeated rows count once there."""
+    own = table(spark, d, "parsed_clause").select("clause_id", "document_id", F.concat_ws(" ", "title", "text").alias("body"))
+    return rt.best_bm25(own, "clause_id", "body", questions(spark, d), "question", "asked", 10, per)
+
+
 @_query(f"WITH {_CORPUS}, t AS (SELECT clause_id, unnest(words) AS term FROM k) SELECT term, count(*) AS tf, count(DISTINCT clause_id) AS df FROM t GROUP BY 1")
 def q_terms(spark: SparkSession, d: str) -> DataFrame:
     return rt.postings(_corpus(spark, d), "clause_id", "body").groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
@@ -624,7 +630,7 @@ def q_approximate_recall(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS n FROM b), z AS (SELECT r.question, r.clause_id, r.n, len(list_intersect(list_distinct({TOKENS.format('q.asked')}), list_distinct({TOKENS.format('c.title')}))) AS shared FROM r JOIN q USING (question) JOIN c USING (clause_id) WHERE n <= 10), o AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY shared DESC, n) AS rank FROM z) SELECT question, clause_id, shared, rank FROM o")
 def q_rerank(spark: SparkSession, d: str) -> DataFrame:
     """The ten best rescored by words shared with the title; ties keep the order they had."""
-    top = rt.best(_scored(spark, d), "question", "clause_id", "score", 10).withColumnRenamed("rank", "n")
+    top = _top(spark, d).withColumnRenamed("rank", "n")
     said = clauses(spark, d).select("clause_id", "title")
     both = top.join(said, "clause_id").join(questions(spark, d).select("question", "asked"), "question")
     shared = F.size(F.array_intersect(F.array_distinct(tx.tokens("asked")), F.array_distinct(tx.tokens("title"))))

@@ -55,6 +55,27 @@ def test_bm25_by_hand(spark):
     assert set(got) == {"a", "b"} and all(abs(got[k] - want[k]) < 1e-8 for k in want)
 
 
+def test_best_bm25_equals_all_scored_pairs(spark, monkeypatch):
+    said = ["a b c", "b", "a a c d", "b b", "", None, "c c c b", "a"]
+    corpus = spark.createDataFrame([(f"k{i:02d}", f"g{i % 7}", said[i % len(said)]) for i in range(60)], "k string, g string, t string")
+    asked = spark.createDataFrame([("q1", "a b"), ("q2", "B, a"), ("q3", "d"), ("q4", "x"), ("q5", None), ("q6", "b b c x"), ("q7", "a b")], "q string, a string")
+    scored = rt.bm25(corpus, "k", "t", asked, "q", "a")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(rt.best(scored, "question", "k", "score", 3).select("question", "k", "score", "rank"))
+    firsts = rt.best(scored.join(corpus.select("k", "g"), "k").groupBy("question", "g").agg(F.min(F.struct((-F.col("score")).alias("s"), "k")).alias("m")), "question", "g", "m", 99)
+    best_of = {}
+    for q, g, m, _ in firsts.collect():
+        best_of.setdefault(q, []).append((m["s"], m["k"], g))
+    want_groups = sorted((q, g, r + 1) for q, own in best_of.items() for r, (_, _, g) in enumerate(sorted(own)[:3]))
+    twice = corpus.unionByName(corpus.where("k < 'k20'")).repartition(5)
+    assert len(want) > 12
+    for rows_at_once, words in ((4096, 200_000), (3, 4)):  # small batches, and several passes
+        monkeypatch.setattr(rt, "TEXT_ROWS", rows_at_once)
+        monkeypatch.setattr(rt, "ASKED_ROWS", words)
+        assert rows(rt.best_bm25(twice, "k", "t", asked, "q", "a", 3).select("question", "k", "score", "rank")) == want
+        assert rows(rt.best_bm25(twice, "k", "t", asked, "q", "a", 3, per="g").select("question", "g", "rank")) == want_groups
+
+
 def test_fusion_and_measures(spark):
     left = spark.createDataFrame([("q", "x", 1), ("q", "y", 2)], "g string, k string, rank int")
     right = spark.createDataFrame([("q", "y", 1), ("q", "z", 2)], "g string, k string, rank int")
