@@ -418,7 +418,7 @@ def q_retrieval_report(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS rank FROM b) SELECT q.product_line, count(*) AS retrieved, round(avg(CASE WHEN split_part(r.clause_id, ':', 1) <> q.document_id THEN 1.0 ELSE 0.0 END), 6) AS foreign_rate FROM r JOIN q USING (question) WHERE rank <= 10 GROUP BY 1")
 def q_foreign_rate(spark: SparkSession, d: str) -> DataFrame:
-    top = rt.best(_scored(spark, d), "question", "clause_id", "score", 10).join(questions(spark, d).select("question", "document_id", "product_line"), "question")
+    top = _top(spark, d).join(questions(spark, d).select("question", "document_id", "product_line"), "question")
     return top.groupBy("product_line").agg(F.count("*").alias("retrieved"), F.round(F.avg((F.substring_index("clause_id", ":", 1) != F.col("document_id")).cast("double")), 6).alias("foreign_rate"))
 
 
