@@ -351,10 +351,6 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
     return clauses(spark, d).select("clause_id", "document_id", "product_line", F.concat_ws(" ", "title", "text").alias("body"))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return rt.bm25(_corpus(spark, d), "clause_id", "body", questions(spark, d), "question", "asked")
-
-
 def _top(spark: SparkSession, d: str, per: str | None = None) -> DataFrame:
     """The ten best clauses of each question, or documents by their best clause; repeated rows count once there."""
     own = table(spark, d, "parsed_clause").select("clause_id", "document_id", F.concat_ws(" ", "title", "text").alias("body"))
@@ -394,10 +390,7 @@ def q_bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"WITH {_BM25}, r AS (SELECT b.question, k.document_id, b.clause_id, b.score, row_number() OVER (PARTITION BY b.question, k.document_id ORDER BY b.score DESC, b.clause_id) AS n FROM b JOIN k USING (clause_id)), t AS (SELECT question, document_id, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS rank FROM r WHERE n = 1) SELECT question, document_id, rank FROM t WHERE rank <= 10")
 def q_bm25_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Documents by their best clause."""
-    own = _scored(spark, d).join(_corpus(spark, d).select("clause_id", "document_id"), "clause_id")
-    top = own.groupBy("question", "document_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "clause_id")).alias("m"))
-    w = Window.partitionBy("question").orderBy("m")
-    return top.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("question", "document_id", "rank")
+    return _top(spark, d, "document_id").select("question", "document_id", "rank")
 
 
 _TRUTH = "t AS (SELECT DISTINCT question, product_line, trim(unnest(string_split(reference_clause_ids, ';'))) AS clause_id FROM q)"

@@ -43,7 +43,7 @@ def test_entry_has_rows(spark, data):
     assert catalogue.queries()["q_bm25_topk"](spark, data).limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", ["q_rerank", "q_bm25_topk", "q_foreign_rate"])
+@pytest.mark.parametrize("name", ["q_rerank", "q_bm25_topk", "q_foreign_rate", "q_bm25_rollup"])
 def test_no_table_of_scored_pairs(spark, data, monkeypatch, name):
     monkeypatch.setattr(catalogue.rt, "bm25", lambda *a, **k: pytest.fail("every question is paired with every text that shares a word"))
     assert catalogue.queries()[name](spark, data).count() > 0
