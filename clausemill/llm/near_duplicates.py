@@ -17,6 +17,7 @@ key counts as one key; repeated rows count once; extra columns are ignored; empt
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.arrow import slices
 from clausemill.llm.textarrays import Hasher, distinct, firsts, mix, word_table
-from clausemill.storage import stash
+from clausemill.storage import drop, shuffles_deleted, stash
 
 BROADCAST_ROWS = 300_000
 BATCH_CHARS = 600_000
+#: Parts in which the places of bands are shuffled.
+TURNS = 3
 SAMPLES = 128
 BITS = 512
 #: A band of r minima agrees with the chance J^r for two texts at similarity J. Five rows and 60 bands find a pair at
@@ -160,20 +163,37 @@ def jaccard(a: str, b: str, width: int) -> float:
     return len(p & q) / len(p | q) if p or q else 0.0
 
 
-def linked_texts(signed: DataFrame, records: DataFrame, id_col: str, text_col: str, threshold: float, width: int) -> DataFrame:
-    """(ta, tb, similarity): pairs of different texts, by text key, ta < tb, at least as similar as the threshold."""
-    # copies in different tasks meet in their bucket; one partitioning serves the removal of copies and the join
-    # place, key and size in one number, so that what is shuffled holds two; a size over 2**24 counts as that
-    placed = signed.select("tk", "n", F.posexplode("bands").alias("place", "key"))
-    key = F.shiftleft(F.col("key").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)), 24)
-    packed = F.shiftleft(F.col("place").cast("bigint"), 56).bitwiseOR(key).bitwiseOR(F.least("n", F.lit((1 << 24) - 1)).cast("bigint"))
-    band, size = F.shiftright("packed", 24), F.col("packed").bitwiseAND(F.lit((1 << 24) - 1))
-    spread = placed.select("tk", packed.alias("packed")).repartition(band)
-    banded = spread.select("tk", size.cast("int").alias("n"), band.alias("band")).dropDuplicates(["band", "tk", "n"])
-    left, right = banded.withColumnsRenamed({"tk": "ta", "n": "ka"}), banded.withColumnsRenamed({"tk": "tb", "n": "kb"})
-    # two sets are no more similar than the smaller is to the larger in size
-    size_fits = F.least("ka", "kb") >= F.greatest("ka", "kb") * F.lit(threshold - 1e-9)
-    pairs = left.join(right, "band").where(F.expr("ta < tb") & size_fits).select("ta", "tb").distinct()
+def candidate_pairs(signed: DataFrame, threshold: float) -> DataFrame:
+    """(ta, tb): pairs of different texts, ta < tb, that share a band and whose sizes allow the threshold.
+
+    The places of bands are taken in ``TURNS`` parts, one after the other; each part's shuffle is deleted once its
+    pairs are written, so the disk holds one part at a time.
+    """
+    found = []
+    for turn in range(TURNS):
+        # copies in different tasks meet in their bucket; one partitioning serves the removal of copies and the join
+        # place, key and size in one number, so that what is shuffled holds two; a size over 2**24 counts as that
+        placed = signed.select("tk", "n", F.posexplode("bands").alias("place", "key")).where(F.col("place") % TURNS == turn)
+        key = F.shiftleft(F.col("key").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)), 24)
+        packed = F.shiftleft(F.col("place").cast("bigint"), 56).bitwiseOR(key).bitwiseOR(F.least("n", F.lit((1 << 24) - 1)).cast("bigint"))
+        band, size = F.shiftright("packed", 24), F.col("packed").bitwiseAND(F.lit((1 << 24) - 1))
+        spread = placed.select("tk", packed.alias("packed")).repartition(band)
+        banded = spread.select("tk", size.cast("int").alias("n"), band.alias("band")).dropDuplicates(["band", "tk", "n"])
+        left, right = banded.withColumnsRenamed({"tk": "ta", "n": "ka"}), banded.withColumnsRenamed({"tk": "tb", "n": "kb"})
+        # two sets are no more similar than the smaller is to the larger in size
+        size_fits = F.least("ka", "kb") >= F.greatest("ka", "kb") * F.lit(threshold - 1e-9)
+        pairs = left.join(right, "band").where(F.expr("ta < tb") & size_fits).select("ta", "tb").distinct()
+        with shuffles_deleted(signed.sparkSession):
+            found.append(stash(pairs, "pairs"))
+    with shuffles_deleted(signed.sparkSession):
+        every = stash(functools.reduce(DataFrame.unionByName, found).distinct(), "pairs")
+    for one in found:
+        drop(one)
+    return every
+
+
+def linked_texts(signed: DataFrame, pairs: DataFrame, records: DataFrame, id_col: str, text_col: str, threshold: float, width: int) -> DataFrame:
+    """(ta, tb, similarity): those of the pairs of texts, by text key, at least as similar as the threshold."""
     names = [f"s{i}" for i in range(BITS // 64)]
     nodes = signed.select("tk", "n", *names).dropDuplicates(["tk"])
     for side in "ab":
@@ -183,7 +203,8 @@ def linked_texts(signed: DataFrame, records: DataFrame, id_col: str, text_col: s
     toggles = F.log(F.greatest(F.lit(1e-9), 1 - 2 * apart / F.lit(float(BITS)))) / F.log(F.lit(1 - 2.0 / BITS))
     estimate = 1 - toggles / (2.0 * SAMPLES)
     margin = 4.5 * F.sqrt(0.5 / F.least(F.lit(float(SAMPLES)), F.greatest("na", "nb")))
-    near = stash(pairs.where(estimate >= F.lit(threshold) - margin).select("ta", "tb"), "near")
+    with shuffles_deleted(signed.sparkSession):
+        near = stash(pairs.where(estimate >= F.lit(threshold) - margin).select("ta", "tb"), "near")
     keys = near.select(F.col("ta").alias("tk")).unionByName(near.select(F.col("tb").alias("tk"))).distinct()
     reps = stash(signed.select("tk", "id").join(keys, "tk", "left_semi").groupBy("tk").agg(F.min("id").alias("id")), "reps")
     small = reps.count() <= BROADCAST_ROWS
@@ -202,8 +223,12 @@ def linked_texts(signed: DataFrame, records: DataFrame, id_col: str, text_col: s
 
 def near_pairs(records: DataFrame, id_col: str, part_col: str, text_col: str, threshold: float = 0.8, width: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs (a, b, similarity) of records of different parts, a < b; the members (id, part, tk); the links."""
-    signed = stash(sign(records, id_col, part_col, text_col, width), "signed")
-    links = linked_texts(signed, records, id_col, text_col, threshold, width)
+    banded = stash(sign(records, id_col, part_col, text_col, width), "banded")
+    pairs = candidate_pairs(banded, threshold)
+    signed = stash(banded.drop("bands"), "signed")
+    drop(banded)
+    links = linked_texts(signed, pairs, records, id_col, text_col, threshold, width)
+    drop(pairs)
     members = signed.select("id", "part", "tk").distinct()
     ma, mb = members.select(F.col("id").alias("ia"), F.col("part").alias("pa"), F.col("tk").alias("ta")), members.select(F.col("id").alias("ib"), F.col("part").alias("pb"), F.col("tk").alias("tb"))
     close = links.join(ma, "ta").join(mb, "tb").where("pa <> pb and ia <> ib").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")

@@ -8,8 +8,10 @@ one machine) a temporary folder of this process is used.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,19 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What is written inside deletes its own shuffle files as soon as it is done, not when the driver next collects
+    garbage. A task that still needs them has them made anew."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that :func:`stash` returned, once nothing will read it again."""
     path = getattr(df, "_stashed", None)

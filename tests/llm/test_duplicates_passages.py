@@ -1,4 +1,6 @@
 import random
+import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -44,6 +46,23 @@ def test_pairs_against_brute_force(spark):
     assert none.count() == 0
 
 
+def test_candidates_in_turns_leave_no_shuffle_files(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [sentence(rng, rng.choice([20, 120])) for _ in range(30)]
+    rows = [(f"a{i}", "p", t) for i, t in enumerate(base)] + [(f"b{i}", "q", edited(rng, t, 0.02)) for i, t in enumerate(base)]
+    signed = nd.sign(spark.createDataFrame(rows, "k string, part string, text string"), "k", "part", "text", 3)
+    files = lambda: set(re.findall(r"shuffle_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before, got = files(), []
+    for turns in (1, 3):
+        monkeypatch.setattr(nd, "TURNS", turns)
+        got.append({tuple(r) for r in nd.candidate_pairs(signed, 0.6).collect()})
+    assert got[0] == got[1] and len(got[0]) >= 10
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+
+
 def test_evenly_edited_pairs_at_the_threshold_are_found(spark):
     rng, rows = random.Random(8), []
     for i in range(300):
