@@ -9,9 +9,10 @@ line ends are joined unless the mark belongs to the word, and lines are reflowed
 
 The vocabulary stays distributed: it is split by first letter and length, and each different token of the scanned
 texts goes to the parts that can hold a word it is a misreading of. Only the answers to these tokens come back,
-broadcast up to ``BROADCAST_ROWS`` and joined by text beyond. As evidence, not as a bound on candidates, the
-``COMMON_WORDS`` most frequent words and ``COMMON_PAIRS`` pairs are broadcast: they tell wording from running lines
-and rank candidates by context, and spare the lookup of words they hold. Running lines are counted for each owner.
+broadcast up to ``BROADCAST_ROWS`` and joined by text beyond. The ``COMMON_WORDS`` most frequent words are broadcast
+to spare their lookup; every other word of a text is among its answers. Neighbouring pairs of words rank candidates by
+context and tell wording from running lines: all of them are broadcast up to ``BROADCAST_ROWS``; beyond, each text is
+read once to see which pairs it asks for, and gets these. Running lines are counted for each owner.
 Equal clean texts count once, so a corpus given twice gives the same rows.
 
 Cases: null texts have no lines and stay null, empty texts stay empty; of rows repeated under one id one is read;
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from clausemill.storage import stash
 
 SUPPORT = 3
-COMMON_WORDS, COMMON_PAIRS = 30_000, 80_000
+COMMON_WORDS = 30_000
 BROADCAST_ROWS = 300_000
 #: Words of one part of the vocabulary, about.
 PART_WORDS = 40_000
@@ -186,14 +187,18 @@ class Repairer:
     def known(self, word: str) -> bool:
         return word in self.words or self.answers.get(word, (False,))[0]
 
+    def counted(self, word: str) -> bool:
+        """Whether the clean texts hold the word; the answer to such a form names the form itself."""
+        return word in self.words or any(w == word for _, w, _ in self.answers.get(word, (False, []))[1])
+
     def right(self, token: str, before: str, after: str) -> str | None:
         """What a misread token should be, or None if it isn't misread."""
         if self.known(token) or not is_wordlike(token) and not re.fullmatch(r"[0156@|]", token):
             return None
         if len(token) == 1:
-            if token == "0" and (self.pairs.get((before, "o")) or self.pairs.get(("o", after))) and after in self.words and len(after) > 2:
+            if token == "0" and (self.pairs.get((before, "o")) or self.pairs.get(("o", after))) and self.counted(after) and len(after) > 2:
                 return "o"
-            if token in "@" and after in self.words:
+            if token in "@" and self.counted(after):
                 return "a"
             return None
         best = None
@@ -210,7 +215,7 @@ class Repairer:
         said = text.split()
         if len(said) > 3 and sum(map(len, said)) > 2 * len(said):
             words = [_word(w) for w in said]
-            if sum(w in self.words for w in words) > 0.7 * len(said) and not any(_bare_word(w) in owner for w in words):
+            if sum(map(self.counted, words)) > 0.7 * len(said) and not any(_bare_word(w) in owner for w in words):
                 # plain wording, unless it recurs and its words do not follow one another so in clean texts
                 if _bare_word(words[0]) not in self._heads(running):
                     return False
@@ -397,6 +402,37 @@ def _counted(clean: DataFrame, text_col: str) -> DataFrame:
     return stash(each.mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n >= 2"), "tokens")
 
 
+class AskedPairs(dict):
+    """No pairs, but those asked for. Which pairs a text asks for doesn't depend on what it is told of them."""
+
+    def __init__(self):
+        super().__init__()
+        self.asked: set[tuple[str, str]] = set()
+
+    def get(self, pair, default=None):
+        self.asked.add(pair)
+        return default
+
+
+def _owner_words(owner: str | None) -> frozenset[str]:
+    return frozenset(p for p in skeleton(owner or "") if len(p) > 1 and p != "de")
+
+
+def _said_in(running: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(owner_key, said): neighbours in an owner's running lines, ``a b``, that clean texts hold as neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = sorted({f"{bare(a)} {bare(b)}" for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())})
+            yield pa.RecordBatch.from_arrays([pa.array(got, type=pa.string())], names=["near"])
+
+    words = running.select("owner_key", F.explode("running").alias("line")).select("owner_key", F.split("line", " ").alias("w"))
+    near = F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.lit(1), F.size("w"))), lambda x, y: F.concat_ws(" ", x, y))
+    asked = words.select("owner_key", F.explode(near).alias("near")).where("near like '% %'").distinct()
+    held = pairs.select("a", "b").mapInArrow(run, "near string").distinct()
+    return asked.join(held, "near").groupBy("owner_key").agg(F.collect_list("near").alias("said"))
+
+
 def _owner_key(owner: str | None) -> str:
     return " ".join(skeleton(owner or ""))
 
@@ -484,7 +520,9 @@ def answers_for(forms: DataFrame, vocabulary: DataFrame, part_words: int = PART_
     best = F.transform(F.filter("every", lambda x: x["tier"] == F.col("tier")), lambda x: F.struct(x["cost"].alias("cost"), x["word"].alias("word"), x["n"].alias("n")))
     misread = lists.select("form", F.lit(False).alias("known"), best.alias("cands"))
     none = F.array().cast("array<struct<cost:int,word:string,n:bigint>>")
-    return known.where("n is not null").select("form", F.lit(True).alias("known"), none.alias("cands")).unionByName(misread)
+    # a word of the clean texts names itself; one that only hyphened lines hold has no count
+    itself = F.when(F.col("n") > 0, F.array(F.struct(F.lit(0).alias("cost"), F.col("form").alias("word"), "n"))).otherwise(none).cast("array<struct<cost:int,word:string,n:bigint>>")
+    return known.where("n is not null").select("form", F.lit(True).alias("known"), itself.alias("cands")).unionByName(misread)
 
 
 _last: list = []
@@ -497,13 +535,15 @@ def _repairer(shared: tuple, tables: list) -> Repairer:
     return _last[1]
 
 
-def repair(scanned: DataFrame, clean: DataFrame, id_col: str, doc_col: str, owner_col: str, text_col: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def repair(scanned: DataFrame, clean: DataFrame, id_col: str, doc_col: str, owner_col: str, text_col: str, broadcast_rows: int = BROADCAST_ROWS, pair_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(id, kinds ARRAY<STRUCT<line_no, kind>>, repaired): every scanned text, one row per id."""
     context = scanned.sparkSession.sparkContext
     counts = _counted(clean, text_col)
     top = lambda df, n: df.orderBy(F.desc("n"), "a", "b").limit(n).collect()
     words = {a: n for a, b, n in top(counts.where((F.col("b") == "") & (F.col("n") >= SUPPORT)), COMMON_WORDS)}
-    pairs = {(a, b): n for a, b, n in top(counts.where("b <> ''"), COMMON_PAIRS)}
+    together = counts.where("b <> ''")
+    all_pairs = together.count() <= pair_rows
+    pairs = {(a, b): n for a, b, n in together.collect()} if all_pairs else {}
     own = scanned.select(F.col(id_col).cast("string").alias("id"), F.col(doc_col).cast("string").alias("doc"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text")).where("id is not null").dropDuplicates(["id"])
     running, compounds = _running(own)
     vocabulary = counts.where((F.col("b") == "") & (F.col("n") >= SUPPORT)).select(F.col("a").alias("word"), "n")
@@ -521,7 +561,7 @@ def repair(scanned: DataFrame, clean: DataFrame, id_col: str, doc_col: str, owne
 
     texts = own.where("length(text) > 0")
     answers = stash(answers_for(texts.select("text").mapInArrow(forms, "form string").distinct(), vocabulary), "answers")
-    few = answers.count() <= broadcast_rows
+    few = all_pairs and answers.count() <= broadcast_rows
     given = context.broadcast([tuple(r) for r in answers.collect()]) if few else None
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -534,11 +574,22 @@ def repair(scanned: DataFrame, clean: DataFrame, id_col: str, doc_col: str, owne
             got = [(i, f) for i, t in enumerate(batch.column("text").to_pylist()) for f in sorted(forms_of(t)) if f not in words]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([g[0] for g in got], type=pa.int64())), pa.array([g[1] for g in got], type=pa.string())], names=["id", "form"])
 
+    def pairs_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x in batch.to_pylist():
+                asks = Repairer(common.value, AskedPairs(), {a["form"]: (a["known"], [(c["cost"], c["word"], c["n"]) for c in a["cands"]]) for a in x["answers"] or ()})
+                asks.__dict__["_bare_pairs"] = {tuple(p.split(" ")) for p in x["said"] or ()}
+                asks.read(x["text"], _owner_words(x["owner"]), frozenset(x["running"] or ()))
+                rows += [(x["id"], a, b) for a, b in sorted(asks.pairs.asked)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.string()) for i in range(3)], names=["id", "a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("line_no", pa.int64()), ("kind", pa.string())]))
         for batch in batches:
             kinds, texts = [], []
             mine = batch.column("answers").to_pylist() if not few else None
+            said, met = (batch.column(c).to_pylist() if not all_pairs else None for c in ("said", "met"))
             for i, (text, owner, lines) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "owner", "running")))):
                 if not text:
                     kinds.append([])
@@ -547,14 +598,17 @@ def repair(scanned: DataFrame, clean: DataFrame, id_col: str, doc_col: str, owne
                 if few:
                     repairer = _repairer((common.value, evidence.value), given.value)
                 else:
-                    repairer = Repairer(common.value, evidence.value, {a["form"]: (a["known"], [(c["cost"], c["word"], c["n"]) for c in a["cands"]]) for a in mine[i] or ()})
-                    repairer.__dict__["_bare_pairs"] = _bare_pairs_of(evidence.value)
-                marks, mended = repairer.read(text, frozenset(p for p in skeleton(owner or "") if len(p) > 1 and p != "de"), frozenset(lines or ()))
+                    own = {(p["a"], p["b"]): p["n"] for p in met[i] or ()} if met else evidence.value
+                    repairer = Repairer(common.value, own, {a["form"]: (a["known"], [(c["cost"], c["word"], c["n"]) for c in a["cands"]]) for a in mine[i] or ()})
+                    repairer.__dict__["_bare_pairs"] = _bare_pairs_of(evidence.value) if all_pairs else {tuple(x.split(" ")) for x in said[i] or ()}
+                marks, mended = repairer.read(text, _owner_words(owner), frozenset(lines or ()))
                 kinds.append([{"line_no": n, "kind": k} for n, k in marks])
                 texts.append(mended)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kinds, type=kind), pa.array(texts, type=pa.string())], names=["id", "kinds", "repaired"])
 
     keyed = own.mapInArrow(key, "id string, doc string, owner string, text string, owner_key string")
+    if not all_pairs:
+        running = running.join(_said_in(running, together), "owner_key", "left")
     running = stash(running, "running")
     ready = keyed.join(F.broadcast(running) if running.count() <= 20_000 else running, "owner_key", "left")
     if few:
@@ -562,7 +616,11 @@ def repair(scanned: DataFrame, clean: DataFrame, id_col: str, doc_col: str, owne
     else:
         per = texts.select("id", "text").mapInArrow(asked, "id string, form string").join(answers, "form")
         per = per.groupBy("id").agg(F.collect_list(F.struct("form", "known", "cands")).alias("answers"))
-        ready = ready.join(per, "id", "left").select("id", "owner", "text", "running", "answers")
+        ready = ready.join(per, "id", "left").drop("doc", "owner_key")
+    if not all_pairs:
+        ready = stash(ready, "ready")
+        met = ready.where("length(text) > 0").mapInArrow(pairs_asked, "id string, a string, b string").join(together, ["a", "b"])
+        ready = ready.join(met.groupBy("id").agg(F.collect_list(F.struct("a", "b", "n")).alias("met")), "id", "left")
     return ready.mapInArrow(run, "id string, kinds array<struct<line_no:bigint,kind:string>>, repaired string").withColumnRenamed("id", id_col)
 
 
