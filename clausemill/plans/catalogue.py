@@ -49,7 +49,8 @@ SQUEEZE = r"regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '^ | $', '', 'g
 CLAUSES = "c AS (SELECT DISTINCT ON (clause_id) * FROM parsed_clause)"
 DATE = r"CASE WHEN {0} LIKE '____-__-__' THEN try_strptime({0}, '%Y-%m-%d')::DATE WHEN {0} LIKE '__/__/____' THEN try_strptime({0}, '%d/%m/%Y')::DATE END"
 FILINGS = f"f AS (SELECT DISTINCT ON (id) id, product_line, cnpj, susep_process, process_year, trim(lower(extraction_mode)) AS extraction_mode, {DATE.format('version_start_date')} AS version_start, try_cast(page_count AS INTEGER) AS pages FROM manifest ORDER BY id, version_start_date NULLS LAST, page_count NULLS LAST, extraction_mode)"
-QUESTIONS = "q AS (SELECT DISTINCT row_id AS question, document_id, product_line, primary_clause_title AS asked, reference_clause_ids FROM product_claim_mismatch_draft WHERE CAST(split_part(row_id, '-', 2) AS BIGINT) % 20 = 0)"
+EVERY_QUESTION = "q AS (SELECT DISTINCT row_id AS question, document_id, product_line, primary_clause_title AS asked, reference_clause_ids FROM product_claim_mismatch_draft)"
+QUESTIONS = EVERY_QUESTION[:-1] + " WHERE CAST(split_part(row_id, '-', 2) AS BIGINT) % 20 = 0)"
 
 
 def clauses(spark: SparkSession, d: str) -> DataFrame:
@@ -63,11 +64,16 @@ def filings(spark: SparkSession, d: str) -> DataFrame:
     return one.select("id", "product_line", "cnpj", "susep_process", "process_year", F.trim(F.lower("extraction_mode")).alias("extraction_mode"), nm.two_form_date("version_start_date").alias("version_start"), F.expr("try_cast(page_count as int)").alias("pages"))
 
 
-def questions(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "product_claim_mismatch_draft").where("cast(split_part(row_id, '-', 2) as bigint) % 20 = 0")
+def every_question(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "product_claim_mismatch_draft")
     return own.select(F.col("row_id").alias("question"), "document_id", "product_line", F.col("primary_clause_title").alias("asked"), "reference_clause_ids").distinct()
 
 
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """One question in twenty."""
+    return every_question(spark, d).where("cast(split_part(question, '-', 2) as bigint) % 20 = 0")
+
+
 # ---- scans, schemas, constraints -------------------------------------------------------------------------------
 
 
@@ -345,16 +351,17 @@ _BM25 = (
     "i AS (SELECT term, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM p, s GROUP BY term, n), "
     "b AS (SELECT a.question, p.clause_id, round(sum(i.idf * p.tf * 2.5::DOUBLE / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.len / s.avg_len))), 9) AS score FROM a JOIN p USING (term) JOIN i USING (term), s GROUP BY 1, 2)"
 )
+_BM25_EVERY = _BM25.replace(QUESTIONS, EVERY_QUESTION)
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
     return clauses(spark, d).select("clause_id", "document_id", "product_line", F.concat_ws(" ", "title", "text").alias("body"))
 
 
-def _top(spark: SparkSession, d: str, per: str | None = None) -> DataFrame:
+def _top(spark: SparkSession, d: str, asked: DataFrame, per: str | None = None) -> DataFrame:
     """The ten best clauses of each question, or documents by their best clause; repeated rows count once there."""
     own = table(spark, d, "parsed_clause").select("clause_id", "document_id", F.concat_ws(" ", "title", "text").alias("body"))
-    return rt.best_bm25(own, "clause_id", "body", questions(spark, d), "question", "asked", 10, per)
+    return rt.best_bm25(own, "clause_id", "body", asked, "question", "asked", 10, per)
 
 
 @_query(f"WITH {_CORPUS}, t AS (SELECT clause_id, unnest(words) AS term FROM k) SELECT term, count(*) AS tf, count(DISTINCT clause_id) AS df FROM t GROUP BY 1")
@@ -371,7 +378,7 @@ def q_idf(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS rank FROM b) SELECT question, clause_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _top(spark, d).select("question", "clause_id", F.round("score", 6).alias("score"), "rank")
+    return _top(spark, d, questions(spark, d)).select("question", "clause_id", F.round("score", 6).alias("score"), "rank")
 
 
 _FILTERED = f"{_BM25}, g AS (SELECT b.question, b.clause_id, b.score FROM b JOIN q ON q.question = b.question JOIN k ON k.clause_id = b.clause_id AND k.document_id = q.document_id)"
@@ -387,10 +394,10 @@ def q_bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     return rt.best(_filtered(spark, d), "question", "clause_id", "score", 10).select("question", "clause_id", "rank")
 
 
-@_query(f"WITH {_BM25}, r AS (SELECT b.question, k.document_id, b.clause_id, b.score, row_number() OVER (PARTITION BY b.question, k.document_id ORDER BY b.score DESC, b.clause_id) AS n FROM b JOIN k USING (clause_id)), t AS (SELECT question, document_id, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS rank FROM r WHERE n = 1) SELECT question, document_id, rank FROM t WHERE rank <= 10")
+@_query(f"WITH {_BM25_EVERY}, r AS (SELECT b.question, k.document_id, b.clause_id, b.score, row_number() OVER (PARTITION BY b.question, k.document_id ORDER BY b.score DESC, b.clause_id) AS n FROM b JOIN k USING (clause_id)), t AS (SELECT question, document_id, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS rank FROM r WHERE n = 1) SELECT question, document_id, rank FROM t WHERE rank <= 10")
 def q_bm25_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Documents by their best clause."""
-    return _top(spark, d, "document_id").select("question", "document_id", "rank")
+    return _top(spark, d, every_question(spark, d), "document_id").select("question", "document_id", "rank")
 
 
 _TRUTH = "t AS (SELECT DISTINCT question, product_line, trim(unnest(string_split(reference_clause_ids, ';'))) AS clause_id FROM q)"
@@ -411,7 +418,8 @@ def q_retrieval_report(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS rank FROM b) SELECT q.product_line, count(*) AS retrieved, round(avg(CASE WHEN split_part(r.clause_id, ':', 1) <> q.document_id THEN 1.0 ELSE 0.0 END), 6) AS foreign_rate FROM r JOIN q USING (question) WHERE rank <= 10 GROUP BY 1")
 def q_foreign_rate(spark: SparkSession, d: str) -> DataFrame:
-    top = _top(spark, d).join(questions(spark, d).select("question", "document_id", "product_line"), "question")
+    asked = questions(spark, d)
+    top = _top(spark, d, asked).join(asked.select("question", "document_id", "product_line"), "question")
     return top.groupBy("product_line").agg(F.count("*").alias("retrieved"), F.round(F.avg((F.substring_index("clause_id", ":", 1) != F.col("document_id")).cast("double")), 6).alias("foreign_rate"))
 
 
@@ -623,9 +631,10 @@ def q_approximate_recall(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS n FROM b), z AS (SELECT r.question, r.clause_id, r.n, len(list_intersect(list_distinct({TOKENS.format('q.asked')}), list_distinct({TOKENS.format('c.title')}))) AS shared FROM r JOIN q USING (question) JOIN c USING (clause_id) WHERE n <= 10), o AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY shared DESC, n) AS rank FROM z) SELECT question, clause_id, shared, rank FROM o")
 def q_rerank(spark: SparkSession, d: str) -> DataFrame:
     """The ten best rescored by words shared with the title; ties keep the order they had."""
-    top = _top(spark, d).withColumnRenamed("rank", "n")
+    asked = questions(spark, d)
+    top = _top(spark, d, asked).withColumnRenamed("rank", "n")
     said = clauses(spark, d).select("clause_id", "title")
-    both = top.join(said, "clause_id").join(questions(spark, d).select("question", "asked"), "question")
+    both = top.join(said, "clause_id").join(asked.select("question", "asked"), "question")
     shared = F.size(F.array_intersect(F.array_distinct(tx.tokens("asked")), F.array_distinct(tx.tokens("title"))))
     w = Window.partitionBy("question").orderBy(F.desc("shared"), "n")
     return both.withColumn("shared", shared).withColumn("rank", F.row_number().over(w)).select("question", "clause_id", "shared", "rank")

@@ -47,3 +47,9 @@ def test_entry_has_rows(spark, data):
 def test_no_table_of_scored_pairs(spark, data, monkeypatch, name):
     monkeypatch.setattr(catalogue.rt, "bm25", lambda *a, **k: pytest.fail("every question is paired with every text that shares a word"))
     assert catalogue.queries()[name](spark, data).count() > 0
+
+
+@pytest.mark.parametrize("name", ["q_bm25_rollup"])
+def test_every_question_is_asked(spark, data, duck, name):
+    asked = {r[0] for r in duck.execute("SELECT DISTINCT row_id FROM product_claim_mismatch_draft").fetchall()}
+    assert {r["question"] for r in catalogue.queries()[name](spark, data).select("question").distinct().collect()} == asked

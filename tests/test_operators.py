@@ -76,6 +76,13 @@ def test_best_bm25_equals_all_scored_pairs(spark, monkeypatch):
         assert rows(rt.best_bm25(twice, "k", "t", asked, "q", "a", 3, per="g").select("question", "g", "rank")) == want_groups
 
 
+def test_best_bm25_of_questions_without_a_key(spark):
+    corpus = spark.createDataFrame([("k1", "a b"), ("k2", "c")], "k string, t string")
+    asked = spark.createDataFrame([(None, "c"), ("q1", "a"), ("q2", "a")], "q string, a string")
+    got = rt.best_bm25(corpus, "k", "t", asked, "q", "a", 3).select("question", "k", "rank").collect()
+    assert {tuple(r) for r in got} == {(None, "k2", 1), ("q1", "k1", 1), ("q2", "k1", 1)} and len(got) == 3
+
+
 def test_fusion_and_measures(spark):
     left = spark.createDataFrame([("q", "x", 1), ("q", "y", 2)], "g string, k string, rank int")
     right = spark.createDataFrame([("q", "y", 1), ("q", "z", 2)], "g string, k string, rank int")
