@@ -376,9 +376,9 @@ def q_idf(spark: SparkSession, d: str) -> DataFrame:
     return df.crossJoin(F.broadcast(own.agg(F.count("*").alias("n")))).select("term", F.round(rt.inverse_frequency(F.col("df"), F.col("n")), 6).alias("idf"))  # one row on the right
 
 
-@_query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS rank FROM b) SELECT question, clause_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+@_query(f"WITH {_BM25_EVERY}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS rank FROM b) SELECT question, clause_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _top(spark, d, questions(spark, d)).select("question", "clause_id", F.round("score", 6).alias("score"), "rank")
+    return _top(spark, d, every_question(spark, d)).select("question", "clause_id", F.round("score", 6).alias("score"), "rank")
 
 
 _FILTERED = f"{_BM25}, g AS (SELECT b.question, b.clause_id, b.score FROM b JOIN q ON q.question = b.question JOIN k ON k.clause_id = b.clause_id AND k.document_id = q.document_id)"
