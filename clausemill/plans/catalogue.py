@@ -416,11 +416,11 @@ def q_retrieval_report(spark: SparkSession, d: str) -> DataFrame:
     return each.join(asked.select("question", "product_line"), "question").rollup("product_line").agg(F.count("*").alias("questions"), F.round(F.avg("recall"), 6).alias("recall_at_10"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg_at_10"))
 
 
-@_query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS rank FROM b) SELECT q.product_line, count(*) AS retrieved, round(avg(CASE WHEN split_part(r.clause_id, ':', 1) <> q.document_id THEN 1.0 ELSE 0.0 END), 6) AS foreign_rate FROM r JOIN q USING (question) WHERE rank <= 10 GROUP BY 1")
+@_query(f"WITH {_BM25_EVERY}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS rank FROM b) SELECT q.product_line, count(*) AS retrieved, round(avg(CASE WHEN split_part(r.clause_id, ':', 1) <> q.document_id THEN 1.0 ELSE 0.0 END), 6) AS foreign_rate FROM r JOIN q USING (question) WHERE rank <= 10 GROUP BY 1")
 def q_foreign_rate(spark: SparkSession, d: str) -> DataFrame:
-    asked = questions(spark, d)
+    asked = every_question(spark, d)
     top = _top(spark, d, asked).join(asked.select("question", "document_id", "product_line"), "question")
-    return top.groupBy("product_line").agg(F.count("*").alias("retrieved"), F.round(F.avg((F.substring_index("clause_id", ":", 1) != F.col("document_id")).cast("double")), 6).alias("foreign_rate"))
+    return top.groupBy("product_line").agg(F.count("*").alias("retrieved"), F.round(F.avg(F.when(F.substring_index("clause_id", ":", 1) != F.col("document_id"), 1.0).otherwise(0.0)), 6).alias("foreign_rate"))
 
 
 # ---- vector retrieval ------------------------------------------------------------------------------------------

@@ -53,3 +53,18 @@ def test_no_table_of_scored_pairs(spark, data, monkeypatch, name):
 def test_every_question_is_asked(spark, data, duck, name):
     asked = {r[0] for r in duck.execute("SELECT DISTINCT row_id FROM product_claim_mismatch_draft").fetchall()}
     assert {r["question"] for r in catalogue.queries()[name](spark, data).select("question").distinct().collect()} == asked
+
+
+def test_foreign_rate_asks_every_question(spark, data, duck, tmp_path):
+    drafts = duck.execute("SELECT count(DISTINCT row_id) FROM product_claim_mismatch_draft").fetchone()[0]
+    rates = catalogue.queries()["q_foreign_rate"](spark, data)
+    assert rates.agg({"retrieved": "sum"}).first()[0] >= 10 * drafts
+    # a question that names no document finds nothing foreign
+    os.symlink(f"{data}/parsed_clause.parquet", tmp_path / "parsed_clause.parquet")
+    duck.execute(f"COPY (SELECT * REPLACE (CASE WHEN row_id < 'mismatch-00000010' THEN NULL ELSE document_id END AS document_id) FROM product_claim_mismatch_draft) TO '{tmp_path}/product_claim_mismatch_draft.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    for name in ("parsed_clause", "product_claim_mismatch_draft"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = con.execute(catalogue.oracle_sql()["q_foreign_rate"]).fetchall()
+    got = catalogue.queries()["q_foreign_rate"](spark, str(tmp_path)).select("product_line", "retrieved", "foreign_rate").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
