@@ -628,10 +628,10 @@ def q_approximate_recall(spark: SparkSession, d: str) -> DataFrame:
     return each.agg(F.count("*").alias("of_neighbours"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
 
 
-@_query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS n FROM b), z AS (SELECT r.question, r.clause_id, r.n, len(list_intersect(list_distinct({TOKENS.format('q.asked')}), list_distinct({TOKENS.format('c.title')}))) AS shared FROM r JOIN q USING (question) JOIN c USING (clause_id) WHERE n <= 10), o AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY shared DESC, n) AS rank FROM z) SELECT question, clause_id, shared, rank FROM o")
+@_query(f"WITH {_BM25_EVERY}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, clause_id) AS n FROM b), z AS (SELECT r.question, r.clause_id, r.n, len(list_intersect(list_distinct({TOKENS.format('q.asked')}), list_distinct({TOKENS.format('c.title')}))) AS shared FROM r JOIN q USING (question) JOIN c USING (clause_id) WHERE n <= 10), o AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY shared DESC, n) AS rank FROM z) SELECT question, clause_id, shared, rank FROM o")
 def q_rerank(spark: SparkSession, d: str) -> DataFrame:
     """The ten best rescored by words shared with the title; ties keep the order they had."""
-    asked = questions(spark, d)
+    asked = every_question(spark, d)
     top = _top(spark, d, asked).withColumnRenamed("rank", "n")
     said = clauses(spark, d).select("clause_id", "title")
     both = top.join(said, "clause_id").join(asked.select("question", "asked"), "question")

@@ -49,7 +49,7 @@ def test_no_table_of_scored_pairs(spark, data, monkeypatch, name):
     assert catalogue.queries()[name](spark, data).count() > 0
 
 
-@pytest.mark.parametrize("name", ["q_bm25_rollup", "q_bm25_topk"])
+@pytest.mark.parametrize("name", ["q_bm25_rollup", "q_bm25_topk", "q_rerank"])
 def test_every_question_is_asked(spark, data, duck, name):
     asked = {r[0] for r in duck.execute("SELECT DISTINCT row_id FROM product_claim_mismatch_draft").fetchall()}
     assert {r["question"] for r in catalogue.queries()[name](spark, data).select("question").distinct().collect()} == asked
