@@ -4,9 +4,8 @@ Method: odd sketches. Of each distinct text, MinHash samples of its word shingle
 hash, empty bins borrowing from the next) are folded into a bitmap of parities; the population count of two bitmaps'
 exclusive or estimates how many samples differ. Candidates come from banded MinHash over the same shingles that the
 similarity counts, so the chance to find a pair follows from its similarity alone, however its edits lie; short
-texts have further bands. Pairs whose sizes rule the threshold out are dropped within their bucket. Candidates
-whose estimate is far below the threshold, by a margin of several standard errors, are dropped; the rest are
-compared exactly.
+texts have further bands. Pairs whose sizes rule the threshold out, or whose estimate is far below it, by a margin
+of several standard errors, are dropped within their bucket; the rest are compared exactly.
 
 Copies of one text are one node, so a group of copies costs no more than one text until the pairs are written.
 Bucket joins emit each pair of texts once and are split at run time if a bucket is large.
@@ -23,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.llm.arrow import slices
@@ -163,49 +162,55 @@ def jaccard(a: str, b: str, width: int) -> float:
     return len(p & q) / len(p | q) if p or q else 0.0
 
 
+def _alike(threshold: float) -> Column:
+    """Whether the sketches of columns a0.. and b0.., of na and nb shingles, may be of texts as similar as the threshold."""
+    words = range(BITS // 64)
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in words), F.lit(0))
+    # expected parities of m toggles over BITS bits: BITS/2 (1 - (1 - 2/BITS)^m)
+    toggles = F.log(F.greatest(F.lit(1e-9), 1 - 2 * apart / F.lit(float(BITS)))) / F.log(F.lit(1 - 2.0 / BITS))
+    estimate = 1 - toggles / (2.0 * SAMPLES)
+    margin = 4.5 * F.sqrt(0.5 / F.least(F.lit(float(SAMPLES)), F.greatest("na", "nb")))
+    return estimate >= F.lit(threshold) - margin
+
+
 def candidate_pairs(signed: DataFrame, threshold: float) -> DataFrame:
-    """(ta, tb): pairs of different texts, ta < tb, that share a band and whose sizes allow the threshold.
+    """(ta, tb): pairs of different texts, ta < tb, that share a band and whose sizes and sketches allow the threshold.
 
     The places of bands are taken in ``TURNS`` parts, one after the other; each part's shuffle is deleted once its
-    pairs are written, so the disk holds one part at a time.
+    pairs are written, so the disk holds one part at a time. Pairs that meet by chance grow with the square of the
+    texts, so they are compared where they meet and not written: most bands are one text's alone and fall away, the
+    others are given their sketches before they are joined.
     """
-    found = []
+    spark, found = signed.sparkSession, []
+    words = range(BITS // 64)
+    with shuffles_deleted(spark):
+        nodes = stash(signed.select("tk", "n", *[f"s{i}" for i in words]).dropDuplicates(["tk"]), "nodes")
     for turn in range(TURNS):
-        # copies in different tasks meet in their bucket; one partitioning serves the removal of copies and the join
-        # place, key and size in one number, so that what is shuffled holds two; a size over 2**24 counts as that
-        placed = signed.select("tk", "n", F.posexplode("bands").alias("place", "key")).where(F.col("place") % TURNS == turn)
-        key = F.shiftleft(F.col("key").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)), 24)
-        packed = F.shiftleft(F.col("place").cast("bigint"), 56).bitwiseOR(key).bitwiseOR(F.least("n", F.lit((1 << 24) - 1)).cast("bigint"))
-        band, size = F.shiftright("packed", 24), F.col("packed").bitwiseAND(F.lit((1 << 24) - 1))
-        spread = placed.select("tk", packed.alias("packed")).repartition(band)
-        banded = spread.select("tk", size.cast("int").alias("n"), band.alias("band")).dropDuplicates(["band", "tk", "n"])
-        left, right = banded.withColumnsRenamed({"tk": "ta", "n": "ka"}), banded.withColumnsRenamed({"tk": "tb", "n": "kb"})
+        # copies in different tasks meet in their bucket; one partitioning serves the removal of copies and the count
+        placed = signed.select("tk", F.posexplode("bands").alias("place", "key")).where(F.col("place") % TURNS == turn)
+        band = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("key").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+        banded = placed.select("tk", band.alias("band")).repartition("band").dropDuplicates(["band", "tk"])
+        shared = banded.withColumn("texts", F.count("*").over(Window.partitionBy("band"))).where("texts > 1").select("tk", "band")
+        with shuffles_deleted(spark):
+            shared = stash(shared, "shared")
+        spread = shared.join(nodes, "tk").repartition("band")
+        left, right = (spread.withColumnsRenamed({"tk": f"t{x}", "n": f"n{x}"} | {f"s{i}": f"{x}{i}" for i in words}) for x in "ab")
         # two sets are no more similar than the smaller is to the larger in size
-        size_fits = F.least("ka", "kb") >= F.greatest("ka", "kb") * F.lit(threshold - 1e-9)
-        pairs = left.join(right, "band").where(F.expr("ta < tb") & size_fits).select("ta", "tb").distinct()
-        with shuffles_deleted(signed.sparkSession):
+        size_fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9)
+        pairs = left.join(right, "band").where(F.expr("ta < tb") & size_fits & _alike(threshold)).select("ta", "tb").distinct()
+        with shuffles_deleted(spark):
             found.append(stash(pairs, "pairs"))
-    with shuffles_deleted(signed.sparkSession):
+        drop(shared)
+    with shuffles_deleted(spark):
         every = stash(functools.reduce(DataFrame.unionByName, found).distinct(), "pairs")
-    for one in found:
+    for one in [*found, nodes]:
         drop(one)
     return every
 
 
 def linked_texts(signed: DataFrame, pairs: DataFrame, records: DataFrame, id_col: str, text_col: str, threshold: float, width: int) -> DataFrame:
     """(ta, tb, similarity): those of the pairs of texts, by text key, at least as similar as the threshold."""
-    names = [f"s{i}" for i in range(BITS // 64)]
-    nodes = signed.select("tk", "n", *names).dropDuplicates(["tk"])
-    for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("tk").alias(f"t{side}"), F.col("n").alias(f"n{side}"), *[F.col(s).alias(f"{side}{s}") for s in names]), f"t{side}")
-    apart = sum((F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in names), F.lit(0))
-    # expected parities of m toggles over BITS bits: BITS/2 (1 - (1 - 2/BITS)^m)
-    toggles = F.log(F.greatest(F.lit(1e-9), 1 - 2 * apart / F.lit(float(BITS)))) / F.log(F.lit(1 - 2.0 / BITS))
-    estimate = 1 - toggles / (2.0 * SAMPLES)
-    margin = 4.5 * F.sqrt(0.5 / F.least(F.lit(float(SAMPLES)), F.greatest("na", "nb")))
-    with shuffles_deleted(signed.sparkSession):
-        near = stash(pairs.where(estimate >= F.lit(threshold) - margin).select("ta", "tb"), "near")
-    keys = near.select(F.col("ta").alias("tk")).unionByName(near.select(F.col("tb").alias("tk"))).distinct()
+    keys = pairs.select(F.col("ta").alias("tk")).unionByName(pairs.select(F.col("tb").alias("tk"))).distinct()
     reps = stash(signed.select("tk", "id").join(keys, "tk", "left_semi").groupBy("tk").agg(F.min("id").alias("id")), "reps")
     small = reps.count() <= BROADCAST_ROWS
     texts = records.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(reps) if small else reps, "id")
@@ -216,7 +221,7 @@ def linked_texts(signed: DataFrame, pairs: DataFrame, records: DataFrame, id_col
             got = [jaccard(a, b, width) for a, b in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("ta"), batch.column("tb"), pa.array(got, type=pa.float64())], names=["ta", "tb", "similarity"])
 
-    both = near.join(texts.withColumnsRenamed({"tk": "ta", "text": "xa"}), "ta").join(texts.withColumnsRenamed({"tk": "tb", "text": "xb"}), "tb")
+    both = pairs.join(texts.withColumnsRenamed({"tk": "ta", "text": "xa"}), "ta").join(texts.withColumnsRenamed({"tk": "tb", "text": "xb"}), "tb")
     exact = both.select("ta", "tb", "xa", "xb").mapInArrow(run, "ta bigint, tb bigint, similarity double")
     return stash(exact.where(F.col("similarity") >= threshold), "links")
 

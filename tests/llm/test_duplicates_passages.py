@@ -63,6 +63,16 @@ def test_candidates_in_turns_leave_no_shuffle_files(spark, monkeypatch):
     assert not files() - before
 
 
+def test_pairs_that_meet_by_chance_are_not_written(spark):
+    rng = random.Random(6)
+    notice = sentence(rng, 40)
+    unlike = [f"{sentence(rng, 55)} {notice} {sentence(rng, 55)}" for _ in range(300)]
+    texts = unlike + [edited(rng, t, 0.02) for t in unlike[:10]]
+    df = spark.createDataFrame([(str(i), str(i), t) for i, t in enumerate(texts)], "k string, part string, text string")
+    pairs = nd.candidate_pairs(nd.sign(df, "k", "part", "text", 3), 0.6)
+    assert 10 <= pairs.count() <= 20
+
+
 def test_evenly_edited_pairs_at_the_threshold_are_found(spark):
     rng, rows = random.Random(8), []
     for i in range(300):
